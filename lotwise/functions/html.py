@@ -38,16 +38,21 @@ def _numeric_entities(t: Column, pattern: str, prefix: str, base: int) -> Column
 
 def unescape(c: Column) -> Column:
     """Named and numeric character references resolved."""
-    t = F.when(
-        c.contains("&#"),
-        _numeric_entities(
-            _numeric_entities(c, r"&#x([0-9a-fA-F]{1,6});", "&#x", 16), r"&#(\d{1,7});", "&#", 10
-        ),
-    ).otherwise(c)
-    named = t
-    for entity, char in ENTITIES.items():
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    return F.when(t.contains("&"), named).otherwise(t)
+
+
+    def numeric(t: Column) -> Column:
+        hexadecimal = T.let(
+            t, lambda x: _numeric_entities(x, r"&#x([0-9a-fA-F]{1,6});", "&#x", 16)
+        )
+        return T.let(hexadecimal, lambda x: _numeric_entities(x, r"&#(\d{1,7});", "&#", 10))
+
+    def resolve(t: Column) -> Column:
+        named = F.when(t.contains("&#"), numeric(t)).otherwise(t)
+        for entity, char in ENTITIES.items():
+            named = F.replace(named, F.lit(entity), F.lit(char))
+        return F.when(t.contains("&"), named).otherwise(t)
+
+    return T.let(c, resolve)
 
 
 def markup_text(c: Column) -> Column:
@@ -73,8 +78,7 @@ def first_text(html: Column, tag: str) -> Column:
 def attribute(markup: Column, name: str) -> Column:
     """Attribute value in the first tag that has it; empty where none."""
     pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    parts = [F.nullif(F.regexp_extract(markup, pattern, g), F.lit("")) for g in (1, 2, 3)]
-    return unescape(F.coalesce(*parts, F.lit("")))
+    return unescape(F.concat(*[F.regexp_extract(markup, pattern, g) for g in (1, 2, 3)]))
 
 
 def element_with(html: Column, condition: str) -> Column:
@@ -107,9 +111,7 @@ def ld_json_items(html: Column, schema: str) -> Column:
         ),
         lambda s: T.strip(s),
     )
-    lists = F.transform(
-        texts, lambda s: F.when(s.startswith("["), s).otherwise(F.concat(F.lit("["), s, F.lit("]")))
-    )
+    lists = F.transform(texts, lambda s: F.regexp_replace(s, r"(?s)^([^\[].*)$", r"[$1]"))
     parsed = F.transform(lists, lambda s: F.from_json(s, f"array<struct<{schema}>>"))
     return F.filter(F.flatten(F.filter(parsed, lambda a: a.isNotNull())), lambda o: o.isNotNull())
 
@@ -133,27 +135,27 @@ def definition_pairs(html: Column) -> Column:
             markup_text(t).alias("text"),
         ),
     )
-    pairs = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            t["kind"].alias("kind"),
-            t["text"].alias("label"),
-            F.get(
-                F.filter(
-                    F.slice(tokens, i + 2, F.size(tokens)), lambda u: u["kind"] != "dt"
-                ),
-                F.lit(0),
-            ).alias("next"),
-        ),
-    )
-    return F.transform(
-        F.filter(pairs, lambda p: p["kind"] == "dt"),
-        lambda p: _pair(
-            without_colon(p["label"]),
-            F.when(p["next"]["kind"] == "dd", p["next"]["text"]).otherwise(F.lit("")),
-        ),
+    # Read backwards: a term takes the definition seen last, a list end clears it.
+    start = F.struct(
+        F.lit("").alias("value"),
+        F.array().cast("array<struct<label:string,value:string>>").alias("pairs"),
     )
 
+    def step(acc: Column, t: Column) -> Column:
+        term = F.struct(
+            acc["value"].alias("value"),
+            F.concat(
+                F.array(_pair(without_colon(t["text"]), acc["value"])), acc["pairs"]
+            ).alias("pairs"),
+        )
+        other = F.struct(
+            F.when(t["kind"] == "dd", t["text"]).otherwise(F.lit("")).alias("value"),
+            acc["pairs"].alias("pairs"),
+        )
+        return F.when(t["kind"] == "dt", term).otherwise(other)
+
+    return F.aggregate(F.reverse(tokens), start, step, lambda acc: acc["pairs"])
+
 
 def table_pairs(html: Column) -> Column:
     """First two cells of every table row that has two."""
@@ -164,7 +166,7 @@ def table_pairs(html: Column) -> Column:
     )
     return F.transform(
         F.filter(cells, lambda c: F.size(c) >= 2),
-        lambda c: _pair(without_colon(markup_text(c[0])), markup_text(c[1])),
+        lambda c: _pair(without_colon(markup_text(F.get(c, F.lit(0)))), markup_text(F.get(c, F.lit(1)))),
     )
 
 

@@ -18,26 +18,29 @@ def _ready(c: Column | str, ready: bool) -> Column:
 
 
 def _double(c: Column) -> Column:
-    return F.nullif(c, F.lit("")).try_cast("double")
+    return T.null_if_empty(c).try_cast("double")
 
 
 def _whole(c: Column) -> Column:
-    return F.nullif(c, F.lit("")).try_cast("bigint")
+    return T.null_if_empty(c).try_cast("bigint")
 
 
 def _money_of(run: Column) -> Column:
     """Value of one digit run; the separators decide what is a thousands mark."""
+    return _double(T.let(run, _plain))
+
+
+def _plain(run: Column) -> Column:
     comma, dot = run.contains(","), run.contains(".")
     last_comma = F.length(F.substring_index(run, ",", -1))
     last_dot = F.length(F.substring_index(run, ".", -1))
-    plain = (
+    return (
         F.when(comma & dot, F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(comma & (last_comma == 3), F.replace(run, F.lit(","), F.lit("")))
         .when(comma, F.replace(run, F.lit(","), F.lit(".")))
         .when(dot & (last_dot == 3), F.replace(run, F.lit("."), F.lit("")))
         .otherwise(run)
     )
-    return _double(plain)
 
 
 def money(c: Column | str, ready: bool = False) -> Column:
@@ -79,9 +82,11 @@ def horsepower(c: Column | str, ready: bool = False) -> Column:
 
 def percent(c: Column | str, ready: bool = False) -> Column:
     """Percentage; dots are thousands marks only if a comma is there too."""
-    run = F.regexp_extract(_ready(c, ready), r"([\d,.]+)\s*%", 1)
-    plain = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return _double(F.when(run.contains(","), plain).otherwise(run))
+    def plain(run: Column) -> Column:
+        german = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.when(run.contains(","), german).otherwise(run)
+
+    return _double(T.let(F.regexp_extract(_ready(c, ready), r"([\d,.]+)\s*%", 1), plain))
 
 
 def year(c: Column | str, ready: bool = False) -> Column:
@@ -111,7 +116,7 @@ def count_in_brackets(c: Column | str) -> Column:
     runs = F.regexp_extract_all(
         T.clean_text(c), F.lit(r"[\(\[]\s*(\d{1,6}(?:[.\s]\d{3})*)\s*[\)\]]"), F.lit(1)
     )
-    return count_value(F.when(F.size(runs) > 0, F.element_at(runs, -1)))
+    return count_value(F.get(F.reverse(runs), F.lit(0)))
 
 
 _COUNT_RUN = r"(\d{1,6}(?:[.\s]\d{3})*)"
@@ -124,19 +129,28 @@ def category_aliases(value: str) -> list[str]:
 
 def category_count(c: Column | str, value: Column) -> Column:
     """Count standing next to any name of the category, on either side."""
-    t = T.clean_text(c)
-    by_value = F.lit(None).cast("bigint")
+    return count_value(
+        T.let(
+            F.struct(T.clean_text(c).alias("t"), value.alias("v")),
+            lambda x: _category_run(x["t"], x["v"]),
+        )
+    )
+
+
+def _category_run(t: Column, value: Column) -> Column:
+    run = F.lit(None).cast("string")
     for code in fixed.CATEGORY_LABELS:
-        tries = []
-        for alias in category_aliases(code):
-            name = T.quote(alias)
+        names = dict.fromkeys(alias.lower() for alias in category_aliases(code))
+        tries = [
+            T.match_or_null(t, T.insensitive(pattern), 1)
+            for name in map(T.quote, names)
             for pattern in (
                 rf"\b{name}\b\s*[\(\[]?\s*{_COUNT_RUN}",
                 rf"{_COUNT_RUN}\s*\b{name}\b",
-            ):
-                tries.append(T.match_or_null(t, T.insensitive(pattern), 1))
-        by_value = F.when(value == code, count_value(F.coalesce(*tries))).otherwise(by_value)
-    return by_value
+            )
+        ]
+        run = F.when(value == code, F.coalesce(*tries)).otherwise(run)
+    return run
 
 
 def price_per_kilowatt(price: Column, kw: Column) -> Column:

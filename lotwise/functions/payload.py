@@ -37,12 +37,14 @@ def payload_texts(html: Column) -> Column:
 
     def texts(push: Column) -> Column:
         outer = F.regexp_replace(F.substring(push, F.lit(len(_PUSH) + 1), F.length(push)), r"\);?$", "")
-        second = F.when(outer.rlike(_SECOND_IS_TEXT), F.get_json_object(outer, "$[1]"))
-        tail = F.substring(second, F.locate(":", second) + 1, F.length(second))
-        inner = F.when(second.contains(":") & _starts_json(tail), tail).when(
-            _starts_json(second), second
-        )
-        return F.array_compact(F.array(outer, inner))
+        return T.let(outer, lambda o: F.array_compact(F.array(o, T.let(second(o), inner))))
+
+    def second(outer: Column) -> Column:
+        return F.when(outer.rlike(_SECOND_IS_TEXT), F.get_json_object(outer, "$[1]"))
+
+    def inner(text: Column) -> Column:
+        tail = F.substring(text, F.locate(":", text) + 1, F.length(text))
+        return F.when(text.contains(":") & _starts_json(tail), tail).when(_starts_json(text), text)
 
     return F.when(
         T.text(html).contains(_PUSH), F.flatten(F.transform(pushes, texts))

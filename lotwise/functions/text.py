@@ -7,7 +7,7 @@ except :func:`compose_unicode`, which needs Unicode normalisation.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,8 +53,24 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(text(c), _EDGES, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it may name many times but that is computed once.
+
+    Column functions repeat their argument's whole expression at every mention;
+    nested, that multiplies.  A one-element array binds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def null_if_empty(c: Column) -> Column:
+    """NULL for empty text, naming the column once."""
+    return F.get(F.array_remove(F.array(c), ""), F.lit(0))
+
+
 def empty_if(c: Column, words: Iterable[str]) -> Column:
-    return F.when(c.isin(list(words)), F.lit("")).otherwise(c)
+    """Empty where the whole text is one of the words."""
+    listed = "|".join(quote(w) for w in words)
+    return F.regexp_replace(c, f"^(?:{listed})$", "")
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -140,13 +156,13 @@ def without_placeholder(c: Column | str) -> Column:
 
 def first_present(*values: Column | str) -> Column:
     """First value that is not a placeholder, else empty."""
-    found = [F.nullif(without_placeholder(v), F.lit("")) for v in values]
+    found = [null_if_empty(without_placeholder(v)) for v in values]
     return F.coalesce(*found, F.lit(""))
 
 
 def first_filled(*values: Column | str) -> Column:
     """First non-empty value as is, else empty."""
-    return F.coalesce(*[F.nullif(col(v).cast("string"), F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(*[null_if_empty(col(v).cast("string")) for v in values], F.lit(""))
 
 
 def record_score(names: Sequence[str]) -> Column:
@@ -167,7 +183,7 @@ def first_match(c: Column | str, pattern: str, group: int = 0) -> Column:
 
 
 def match_or_null(c: Column | str, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text(c), pattern, group), F.lit(""))
+    return null_if_empty(F.regexp_extract(text(c), pattern, group))
 
 
 def quote(literal: str) -> str:
@@ -199,27 +215,37 @@ _CITY_END = r"(?U)\s{2,}|Kontakt|Telefon|Tel\.?|Bewertung"
 
 def address_parts(c: Column | str) -> Column:
     """Street, five-digit postcode and city of one address text."""
-    t = clean_text(c)
-    city = F.get(F.split(clean_text(F.regexp_extract(t, _PLZ_CITY, 2)), _CITY_END), F.lit(0))
-    return F.struct(
-        clean_text(F.regexp_extract(t, insensitive(_STREET), 1)).alias("street"),
-        F.regexp_extract(t, _PLZ_CITY, 1).alias("plz"),
-        F.trim(city, F.lit(" ,")).alias("city"),
-    )
+
+
+    def parts(t: Column) -> Column:
+        city = F.get(F.split(clean_text(F.regexp_extract(t, _PLZ_CITY, 2)), _CITY_END), F.lit(0))
+        return F.struct(
+            clean_text(F.regexp_extract(t, insensitive(_STREET), 1)).alias("street"),
+            F.regexp_extract(t, _PLZ_CITY, 1).alias("plz"),
+            F.trim(city, F.lit(" ,")).alias("city"),
+        )
+
+    return let(clean_text(c), parts)
 
 
 def phone_from_parts(intl: Column, prefix: Column, number: Column, normalized: Column) -> Column:
     """One phone number from its payload parts."""
-    intl, prefix, number, normalized = (
-        without_placeholder(x) for x in (intl, prefix, number, normalized)
-    )
-    full = (intl != "") & (prefix != "") & (number != "")
-    return (
-        F.when(full, clean_text(F.concat(F.lit("+"), intl, F.lit(" "), prefix, F.lit(" "), number)))
-        .when(normalized.startswith("49"), F.concat(F.lit("+"), normalized))
-        .when(normalized != "", normalized)
-        .otherwise(clean_text(F.concat(prefix, F.lit(" "), number)))
-    )
+
+
+    def phone(p: Column) -> Column:
+        full = (p["i"] != "") & (p["p"] != "") & (p["n"] != "")
+        return (
+            F.when(
+                full,
+                clean_text(F.concat(F.lit("+"), p["i"], F.lit(" "), p["p"], F.lit(" "), p["n"])),
+            )
+            .when(p["f"].startswith("49"), F.concat(F.lit("+"), p["f"]))
+            .when(p["f"] != "", p["f"])
+            .otherwise(clean_text(F.concat(p["p"], F.lit(" "), p["n"])))
+        )
+
+    given = {"i": intl, "p": prefix, "n": number, "f": normalized}
+    return let(F.struct(*[without_placeholder(c).alias(k) for k, c in given.items()]), phone)
 
 
 def phone_spacing(c: Column | str) -> Column:
@@ -228,18 +254,22 @@ def phone_spacing(c: Column | str) -> Column:
 
 def monthly_rate(c: Column | str) -> Column:
     """Euro amounts get the monthly suffix once."""
-    t = first_present(c)
-    return F.when(
-        t.contains("€") & ~F.lower(t).contains("mtl"), F.concat(t, F.lit(" mtl."))
-    ).otherwise(t)
+    return let(
+        first_present(c),
+        lambda t: F.when(
+            t.contains("€") & ~F.lower(t).contains("mtl"), F.concat(t, F.lit(" mtl."))
+        ).otherwise(t),
+    )
 
 
 def credit_term(c: Column | str) -> Column:
     """A bare term gets the unit months."""
-    t = without_placeholder(c)
-    return F.when(
-        (t != "") & ~t.rlike(insensitive(r"\b(?:Monat|month)")), F.concat(t, F.lit(" Monate"))
-    ).otherwise(t)
+    return let(
+        without_placeholder(c),
+        lambda t: F.when(
+            (t != "") & ~t.rlike(insensitive(r"\b(?:Monat|month)")), F.concat(t, F.lit(" Monate"))
+        ).otherwise(t),
+    )
 
 
 def without_footnotes(c: Column | str) -> Column:

@@ -58,7 +58,7 @@ def query_value(c: Column, *names: str) -> Column:
     for name in names:
         raw = F.regexp_extract(q, rf"&{T.quote(name)}=([^&]+)", 1)
         found.append(
-            F.nullif(_decode(raw), F.lit(""))
+            T.null_if_empty(_decode(raw))
         )
     return F.coalesce(*found, F.lit(""))
 
@@ -69,42 +69,54 @@ def path_segments(path: Column) -> Column:
 
 def dealer_url(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
     """Canonical dealer home page: absolute, https, upper-case slug, no query."""
-    raw = T.strip(c)
-    raw = F.trim(F.trim(raw, F.lit('"')), F.lit("'"))
-    absolute = (
-        F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
-        .when(raw.startswith("/"), F.concat(F.lit(site.dealer_base), raw))
-        .when(raw.startswith("http"), raw)
-        .otherwise(F.concat(F.lit(site.dealer_base + "/"), F.ltrim(raw, F.lit("/"))))
-    )
-    host, path = url_host(absolute), url_path(absolute)
-    segments = path_segments(path)
-    slug = F.concat(F.lit("/"), F.upper(F.get(segments, F.lit(0))))
-    canonical = F.concat(
-        F.lit(site.dealer_base),
-        F.when(F.size(segments) == 1, slug).otherwise(F.rtrim(path, F.lit("/"))),
-    )
-    return (
-        F.when(T.text(c) == "", F.lit(""))
-        .when((host != "") & (host != site.dealer_host), absolute)
-        .otherwise(canonical)
-    )
+
+
+    def absolute(raw: Column) -> Column:
+        return (
+            F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
+            .when(raw.startswith("/"), F.concat(F.lit(site.dealer_base), raw))
+            .when(raw.startswith("http"), raw)
+            .otherwise(F.concat(F.lit(site.dealer_base + "/"), F.ltrim(raw, F.lit("/"))))
+        )
+
+    def parts(url: Column) -> Column:
+        path = url_path(url)
+        return F.struct(
+            url.alias("url"),
+            url_host(url).alias("host"),
+            path.alias("path"),
+            path_segments(path).alias("segments"),
+        )
+
+    def canonical(p: Column) -> Column:
+        slug = F.concat(F.lit("/"), F.upper(F.get(p["segments"], F.lit(0))))
+        tail = F.when(F.size(p["segments"]) == 1, slug).otherwise(F.rtrim(p["path"], F.lit("/")))
+        foreign = (p["host"] != "") & (p["host"] != site.dealer_host)
+        return F.when(foreign, p["url"]).otherwise(F.concat(F.lit(site.dealer_base), tail))
+
+    raw = F.trim(F.trim(T.strip(c), F.lit('"')), F.lit("'"))
+    url = T.let(T.let(T.let(raw, absolute), parts), canonical)
+    return F.when(T.text(c) == "", F.lit("")).otherwise(url)
 
 
 def vehicle_url(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
     """Listing id or partial URL to an absolute detail URL."""
-    u = T.clean_text(c)
-    return (
-        F.when(u == "", F.lit(""))
-        .when(
-            u.rlike(r"^\d+$"),
-            F.concat(F.lit(f"{site.search_base}/fahrzeuge/details.html?id="), u),
+
+
+    def absolute(u: Column) -> Column:
+        return (
+            F.when(u == "", F.lit(""))
+            .when(
+                u.rlike(r"^\d+$"),
+                F.concat(F.lit(f"{site.search_base}/fahrzeuge/details.html?id="), u),
+            )
+            .when(u.startswith("//"), F.concat(F.lit("https:"), u))
+            .when(u.startswith("/"), F.concat(F.lit(site.search_base), u))
+            .when(~u.startswith("http"), F.concat(F.lit("https://"), u))
+            .otherwise(u)
         )
-        .when(u.startswith("//"), F.concat(F.lit("https:"), u))
-        .when(u.startswith("/"), F.concat(F.lit(site.search_base), u))
-        .when(~u.startswith("http"), F.concat(F.lit("https://"), u))
-        .otherwise(u)
-    )
+
+    return T.let(T.clean_text(c), absolute)
 
 
 def dealer_slug(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
@@ -116,10 +128,14 @@ def dealer_slug(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
 def listing_id(c: Column | str) -> Column:
     """Listing id of a detail URL: a numeric ``id`` parameter, else eight or more
     digits standing as a path part."""
-    u = T.clean_text(c)
-    by_query = query_value(u, "id")
-    by_path = F.regexp_extract(u, r"(?:[?&]id=|/)(\d{8,})(?:[&#/?]|$)", 1)
-    return F.when(by_query.rlike(r"^\d+$"), by_query).otherwise(by_path)
+
+
+    def find(u: Column) -> Column:
+        by_query = F.regexp_extract(query_value(u, "id"), r"^\d+$", 0)
+        by_path = F.regexp_extract(u, r"(?:[?&]id=|/)(\d{8,})(?:[&#/?]|$)", 1)
+        return F.coalesce(T.null_if_empty(by_query), by_path)
+
+    return T.let(T.clean_text(c), find)
 
 
 def is_listing_id(c: Column | str) -> Column:
@@ -128,21 +144,26 @@ def is_listing_id(c: Column | str) -> Column:
 
 def is_dealer_link(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
     """Link that can be a dealer home page."""
-    href = T.strip(c)
-    url = dealer_url(href, site)
-    segments = path_segments(url_path(url))
-    slug = F.lower(F.get(segments, F.lit(0)))
-    return F.coalesce(
-        (href != "")
-        & ~href.rlike(r"^(?:#|mailto:|tel:)")
-        & ~href.contains("/regional/")
-        & ~href.endswith(".html")
-        & (url_host(url) == site.dealer_host)
-        & (F.size(segments) == 1)
-        & ~slug.isin(fixed.BLOCKED_DEALER_SLUGS)
-        & (F.length(slug) > 1),
-        F.lit(False),
-    )
+
+
+    def home_page(url: Column) -> Column:
+        segments = path_segments(url_path(url))
+        slug = F.lower(F.get(segments, F.lit(0)))
+        return (
+            (url_host(url) == site.dealer_host)
+            & (F.size(segments) == 1)
+            & ~slug.isin(fixed.BLOCKED_DEALER_SLUGS)
+            & (F.length(slug) > 1)
+        )
+
+    def decide(href: Column) -> Column:
+        return (
+            (href != "")
+            & ~href.rlike(r"^(?:#|mailto:|tel:)|/regional/|\.html$")
+            & T.let(dealer_url(href, site), home_page)
+        )
+
+    return F.coalesce(T.let(T.strip(c), decide), F.lit(False))
 
 
 def is_detail_url(c: Column | str) -> Column:
@@ -160,48 +181,36 @@ def is_vehicle_url(c: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
 
 
 def category_url(c: Column | str, category: Column | str, site: Marketplace = DEFAULT_SITE) -> Column:
-    """Inventory URL of one category: paging dropped, ``vc`` set."""
+    """Inventory URL of one category: paging dropped, ``vc`` set.
+
+    A repeated parameter keeps its first place and takes its last value, so the
+    appended ``vc`` also replaces an earlier one in its place.
+    """
     u = T.text(c)
-    code = T.col(category)
-    kept = F.filter(query_pairs(u), lambda p: ~p["key"].isin("page", "pageNumber"))
-    # A repeated key keeps its first place and its last value.
-    firsts = F.filter(
-        F.transform(
-            kept,
-            lambda p, i: F.struct(
-                p["key"].alias("key"),
-                i.alias("i"),
-                F.array_position(F.transform(kept, lambda q: q["key"]), p["key"]).alias("first"),
-            ),
-        ),
-        lambda p: p["first"] == p["i"] + 1,
-    )
-    pairs = F.transform(
-        firsts,
-        lambda p: F.concat(
-            _encode(p["key"]),
-            F.lit("="),
-            F.when(p["key"] == "vc", _encode(code)).otherwise(
-                _encode(
-                    F.element_at(F.filter(kept, lambda q: q["key"] == p["key"]), -1)["value"]
-                )
-            ),
-        ),
+    wanted = F.struct(F.lit("vc").alias("key"), T.col(category).alias("value"))
+    pairs = F.concat(
+        F.filter(query_pairs(u), lambda p: ~p["key"].isin("page", "pageNumber")), F.array(wanted)
     )
-    has_vc = F.exists(kept, lambda p: p["key"] == "vc")
-    pairs = F.when(has_vc, pairs).otherwise(
-        F.concat(pairs, F.array(F.concat(F.lit("vc="), _encode(code))))
-    )
-    scheme = F.coalesce(F.nullif(url_scheme(u), F.lit("")), F.lit("https"))
-    host = F.coalesce(F.nullif(url_host(u), F.lit("")), F.lit(site.dealer_host))
-    path = F.coalesce(F.nullif(F.rtrim(url_path(u), F.lit("/")), F.lit("")), F.lit("/"))
-    return F.concat(scheme, F.lit("://"), host, path, F.lit("?"), F.array_join(pairs, "&"))
+
+    def put(acc: Column, p: Column) -> Column:
+        replaced = F.transform(acc, lambda q: F.when(q["key"] == p["key"], p).otherwise(q))
+        return F.when(F.exists(acc, lambda q: q["key"] == p["key"]), replaced).otherwise(
+            F.concat(acc, F.array(p))
+        )
+
+    merged = F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), put)
+    encoded = F.transform(merged, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"])))
+    scheme = F.coalesce(T.null_if_empty(url_scheme(u)), F.lit("https"))
+    host = F.coalesce(T.null_if_empty(url_host(u)), F.lit(site.dealer_host))
+    path = F.coalesce(T.null_if_empty(F.rtrim(url_path(u), F.lit("/"))), F.lit("/"))
+    return F.concat(scheme, F.lit("://"), host, path, F.lit("?"), F.array_join(encoded, "&"))
 
 
 def category_of_href(c: Column | str) -> Column:
     """Category code in a link's query, empty unless it is a known code."""
+    codes = "|".join(fixed.CATEGORY_LABELS)
     value = T.without_placeholder(query_value(T.text(c), "vc", "vehicleCategory"))
-    return F.when(value.isin(list(fixed.CATEGORY_LABELS)), value).otherwise(F.lit(""))
+    return F.regexp_extract(value, f"^(?:{codes})$", 0)
 
 
 def synthetic_url(
@@ -230,7 +239,7 @@ def entry_key(
 ) -> Column:
     """Canonical URL, else the cleaned identity fields joined by pipes."""
     joined = F.concat_ws("|", *[T.clean_text(p) for p in parts])
-    return F.coalesce(F.nullif(vehicle_url(url, site), F.lit("")), joined)
+    return F.coalesce(T.null_if_empty(vehicle_url(url, site)), joined)
 
 
 def state_label(c: Column | str) -> Column:

@@ -14,10 +14,16 @@ STATE_NAMES = sorted({state for _, _, state in fixed.POSTCODE_THOUSANDS})
 
 def country_name(c: Column | str) -> Column:
     """Country code or name to its German name; unknown text stays."""
-    t = T.clean_text(c)
-    upper = F.upper(t)
-    known = [F.when(upper.isin(words), F.lit(name)) for name, words in fixed.COUNTRY_WORDS.items()]
-    return F.coalesce(*known, t)
+
+
+    def known(t: Column) -> Column:
+        upper = F.upper(t)
+        names = [
+            F.when(upper.isin(words), F.lit(name)) for name, words in fixed.COUNTRY_WORDS.items()
+        ]
+        return F.coalesce(*names, t)
+
+    return T.let(T.clean_text(c), known)
 
 
 def is_germany(c: Column | str) -> Column:
@@ -34,16 +40,14 @@ def state_of_postcode(c: Column | str) -> Column:
     for first, last, state in fixed.POSTCODE_THOUSANDS:
         by_thousand[first : last + 1] = [state] * (last - first + 1)
     states = F.array(*[F.lit(s) for s in by_thousand])
-    thousand = F.nullif(
-        F.regexp_extract(T.clean_text(c), r"(?U)\b(\d{2})\d{3}\b", 1), F.lit("")
-    ).try_cast("int")
+    thousand = T.match_or_null(T.clean_text(c), r"(?U)\b(\d{2})\d{3}\b", 1).try_cast("int")
     return F.coalesce(F.get(states, thousand), F.lit(""))
 
 
 def actual_region(country: Column, postcode: Column, region: Column) -> Column:
     """Postcode state inside Germany, else the given region."""
     given = T.clean_text(region)
-    by_postcode = F.nullif(state_of_postcode(postcode), F.lit(""))
+    by_postcode = T.null_if_empty(state_of_postcode(postcode))
     return F.when(is_germany(country), F.coalesce(by_postcode, given)).otherwise(given)
 
 

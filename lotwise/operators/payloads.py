@@ -73,10 +73,14 @@ def with_payloads(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def localized(c: Column) -> Column:
     """Text of a value that may be an object with a localized name."""
-    parts = [F.get_json_object(c, f"$.{k}") for k in ("localized", "name", "value", "id")]
-    return F.when(T.text(c).startswith("{"), T.first_present(*parts)).otherwise(
-        T.without_placeholder(c)
-    )
+
+    def read(x: Column) -> Column:
+        parts = [F.get_json_object(x, f"$.{k}") for k in ("localized", "name", "value", "id")]
+        return F.when(T.text(x).startswith("{"), T.first_present(*parts)).otherwise(
+            T.without_placeholder(x)
+        )
+
+    return T.let(c, read)
 
 
 def meaningful_strings(json_text: Column) -> Column:
@@ -138,7 +142,7 @@ def listing_columns(parsed: Column, raw: Column, site: Marketplace = DEFAULT_SIT
     by_text = T.first_match(
         F.array_join(meaningful_strings(raw), " • "), r"\b\d{1,4}\s*g/km\b"
     )
-    co2 = T.first_present(*[attr[k] for k in CO2_KEYS])
+    co2 = T.first_filled(T.first_present(*[attr[k] for k in CO2_KEYS]), by_text)
     columns = {
         "Vehicle_URL": F.when(U.is_listing_id(listing_id), U.vehicle_url(listing_id, site)).otherwise(F.lit("")),
         "Markes": F.when(make != "", make).otherwise(split["brand"]),
@@ -152,7 +156,7 @@ def listing_columns(parsed: Column, raw: Column, site: Marketplace = DEFAULT_SIT
             parsed["isDamageCase"], parsed["hasDamage"], parsed["readyToDrive"]
         ),
         **{f: T.first_present(*[attr[k] for k in keys]) for f, keys in ATTRIBUTE_KEYS.items()},
-        "CO₂-Emissionen": F.when(co2 != "", co2).otherwise(by_text),
+        "CO₂-Emissionen": co2,
         "Preis": cost,
         "Fahrzeugtyp_Raw": body,
         "Vehicle_Category": T.first_present(parsed["vc"], parsed["segment"]),
@@ -341,8 +345,10 @@ def _object_count(obj: Column) -> Column:
 
 def _scalar(obj: Column, name: str) -> Column:
     """Value of a key as text; objects, lists and booleans give NULL."""
-    value = F.get_json_object(obj, f"$.{name}")
-    return F.when(~value.rlike(r"^(?:[\[{]|true$|false$)"), value)
+    return T.let(
+        F.get_json_object(obj, f"$.{name}"),
+        lambda value: F.when(~value.rlike(r"^(?:[\[{]|true$|false$)"), value),
+    )
 
 
 def _option(value: Column, label: Column, count: Column, url: Column, rank: int) -> Column:
@@ -572,13 +578,13 @@ def payload_vendor(objects: Column, site: Marketplace = DEFAULT_SITE) -> Column:
     imprint = T.without_placeholder(legal["imprint"])
     by_field: dict[str, Column] = {}
     for key, name in PHONE_KEYS:
-        found = F.nullif(_phone(phones[key]), F.lit(""))
+        found = T.null_if_empty(_phone(phones[key]))
         by_field[name] = F.coalesce(found, by_field[name]) if name in by_field else found
 
     def imprint_number(word: str) -> Column:
-        return F.nullif(T.first_match(imprint, rf"\b{word}{_IMPRINT_NUMBER}", 1), F.lit(""))
+        return T.null_if_empty(T.first_match(imprint, rf"\b{word}{_IMPRINT_NUMBER}", 1))
 
-    email = F.nullif(T.without_placeholder(dealer["email"]), F.lit(""))
+    email = T.without_placeholder(dealer["email"])
     return F.when(
         raw.isNotNull(),
         F.struct(
@@ -590,8 +596,8 @@ def payload_vendor(objects: Column, site: Marketplace = DEFAULT_SITE) -> Column:
             T.without_placeholder(place["city"]).alias("city"),
             T.first_present(*[place[k] for k in REGION_KEYS]).alias("region"),
             location.country_name(T.without_placeholder(place["country"])).alias("country"),
-            F.coalesce(
-                email, F.nullif(F.regexp_extract(imprint, f"(?U){fixed.EMAIL_PATTERN}", 0), F.lit("")), F.lit("")
+            T.first_filled(
+                email, F.regexp_extract(imprint, f"(?U){fixed.EMAIL_PATTERN}", 0)
             ).alias("email"),
             U.dealer_url(T.without_placeholder(dealer["homepageUrl"]), site).alias("url"),
             T.first_present(
@@ -729,7 +735,7 @@ def contact_fields(html: Column, site: Marketplace = DEFAULT_SITE) -> dict[str,
     columns = {}
     for name, pattern in _CONTACT_PATTERNS.items():
         found = T.first_match(words, pattern, 1)
-        columns[name] = F.when(F.length(found) > 5, found).otherwise(F.lit(""))
+        columns[name] = F.regexp_extract(found, r"(?s)^.{6,}$", 0)
     links = H.anchors(html)
 
     def homepage(a: Column) -> Column:

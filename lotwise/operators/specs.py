@@ -38,30 +38,24 @@ def _canonical_map() -> Column:
 
 def canonical_label(c: Column) -> Column:
     """Listed spelling of a label or alias; NULL for unknown labels."""
-    label = H.without_colon(c)
-    lowered = F.lower(label)
-    co2 = F.lit(False)
-    for prefix in fixed.CO2_LABEL_PREFIXES:
-        co2 = co2 | lowered.startswith(prefix)
-    return F.when(co2, F.lit(fixed.CO2_LABEL)).otherwise(_canonical_map()[lowered])
+    names, co2 = _canonical_map(), "|".join(fixed.CO2_LABEL_PREFIXES)
+    return T.let(
+        F.lower(H.without_colon(c)),
+        lambda x: F.when(x.rlike(f"^(?:{co2})"), F.lit(fixed.CO2_LABEL)).otherwise(names[x]),
+    )
 
 
-def neighbour_pairs(html: Column) -> Column:
+def neighbour_pairs(texts: Column) -> Column:
     """Labels followed by their value in the next element, and ``Label: value`` texts.
 
-    Reads elements without nested markup, so it covers flat neighbours only.
+    ``texts`` are the page's leaf texts, so this covers flat neighbours only.
     """
-    texts = H.leaf_texts(html)
     listed = sorted([*fixed.SPEC_LABELS, *fixed.SPEC_LABEL_ALIASES], key=len, reverse=True)
     inline = T.insensitive("^(" + "|".join(T.quote(x) for x in listed) + r")\s*[:\-]\s*(.+)$")
-    marked = F.transform(
-        texts, lambda t: F.struct(t.alias("text"), canonical_label(t).alias("label"))
-    )
 
-    def of(item: Column, i: Column) -> Column:
-        following = F.get(texts, i + 1)
+    def of(item: Column) -> Column:
         return F.when(
-            item["label"].isNotNull(), _pair(item["label"], F.coalesce(following, F.lit("")))
+            item["label"].isNotNull(), _pair(item["label"], F.coalesce(item["next"], F.lit("")))
         ).otherwise(
             _pair(
                 F.regexp_extract(item["text"], inline, 1),
@@ -69,7 +63,17 @@ def neighbour_pairs(html: Column) -> Column:
             )
         )
 
-    return F.transform(marked, of)
+    def with_next(all_texts: Column) -> Column:
+        following = F.slice(all_texts, F.lit(2), F.size(all_texts))
+        return F.zip_with(
+            all_texts,
+            following,
+            lambda t, n: F.struct(
+                t.alias("text"), canonical_label(t).alias("label"), n.alias("next")
+            ),
+        )
+
+    return F.transform(T.let(texts, with_next), of)
 
 
 def state_pairs(objects: Column) -> Column:
@@ -77,7 +81,9 @@ def state_pairs(objects: Column) -> Column:
     tags = F.create_map(*[F.lit(x) for kv in fixed.STATE_TAG_LABELS.items() for x in kv])
 
     def of(o: Column) -> Column:
-        parsed = F.from_json(o, "label string, value string, tag string")
+        return T.let(F.from_json(o, "label string, value string, tag string"), pairs)
+
+    def pairs(parsed: Column) -> Column:
         value = T.without_placeholder(parsed["value"])
         return F.array(
             _pair(T.without_placeholder(parsed["label"]), value),
@@ -139,7 +145,8 @@ def trim_line(words: Column) -> Column:
             value, T.insensitive(r"\b(?:Paket|Exterieur|Interieur|Sicherheit)\b.*$"), ""
         )
         value = F.trim(T.clean_text(value), F.lit(" -"))
-        tries.append(F.when((value != "") & ~F.lower(value).isin(fixed.TRIM_LINE_REJECTS), value))
+        rejects = "|".join(fixed.TRIM_LINE_REJECTS)
+        tries.append(T.null_if_empty(F.regexp_replace(value, T.insensitive(f"^(?:{rejects})$"), "")))
     return F.coalesce(*tries, F.lit(""))
 
 
@@ -200,7 +207,7 @@ def with_specs(pages: DataFrame, html: str = "html") -> DataFrame:
         F.concat(
             H.definition_pairs(page),
             H.table_pairs(page),
-            neighbour_pairs(page),
+            neighbour_pairs(H.leaf_texts(page)),
             F.when(F.size("__state") > 0, state_pairs(F.col("__state"))).otherwise(none),
             F.when(has_strings, quick_stats(F.col("__strings"))).otherwise(none),
             F.when(has_strings, labelled_pairs(F.col("__strings"))).otherwise(none),
@@ -270,17 +277,22 @@ def ld_vehicle(html: Column) -> Column:
         ),
         F.lit(0),
     )
-    brand = F.when(item["brand"].startswith("{"), F.get_json_object(item["brand"], "$.name")).otherwise(item["brand"])
     clean = T.without_placeholder
-    return F.when(
-        item.isNotNull(),
-        F.struct(
-            clean(item["name"]).alias("name"),
-            clean(brand).alias("brand"),
-            clean(item["model"]).alias("model"),
-            clean(F.get_json_object(item["offers"], "$.price")).alias("price"),
-        ),
-    )
+
+    def record(x: Column) -> Column:
+        named = F.get_json_object(x["brand"], "$.name")
+        brand = F.when(x["brand"].startswith("{"), named).otherwise(x["brand"])
+        return F.when(
+            x.isNotNull(),
+            F.struct(
+                clean(x["name"]).alias("name"),
+                clean(brand).alias("brand"),
+                clean(x["model"]).alias("model"),
+                clean(F.get_json_object(x["offers"], "$.price")).alias("price"),
+            ),
+        )
+
+    return T.let(item, record)
 
 
 def with_title_and_price(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -312,7 +324,7 @@ def with_title_and_price(pages: DataFrame, html: str = "html") -> DataFrame:
         {
             "__ld": F.when(has_ld, ld_vehicle(page)),
             "__heading": titles.without_price(heading),
-            "__shown": F.coalesce(*[F.when(s.contains("€"), s) for s in shown]),
+            "__shown": F.coalesce(*[T.null_if_empty(F.regexp_extract(s, r"(?s)^.*€.*$", 0)) for s in shown]),
         }
     )
     ld = F.col("__ld")
@@ -553,29 +565,26 @@ def directory_dealers(
         F.col("linked"),
         F.transform(extra, lambda u: F.struct(u.alias("url"), empty.alias("link"), empty.alias("block"))),
     )
-    urls = F.transform(every, lambda x: x["url"])
-    last = F.filter(
-        F.transform(
-            every,
-            lambda x, i: F.struct(
-                x.alias("d"),
-                (F.size(F.array_remove(F.slice(urls, i + 2, F.size(urls)), x["url"]))
-                 == F.size(F.slice(urls, i + 2, F.size(urls)))).alias("last"),
-            ),
+    # Folding from the end keeps the last entry of every URL.
+    start = F.array().cast("array<struct<url:string,link:string,block:string>>")
+    last = F.aggregate(
+        F.reverse(every),
+        start,
+        lambda acc, x: F.when(F.exists(acc, lambda y: y["url"] == x["url"]), acc).otherwise(
+            F.concat(acc, F.array(x))
         ),
-        lambda x: x["last"],
     )
-    found = rows.select(key, F.explode(last).alias("x")).select(key, "x.d.url", "x.d.link", "x.d.block")
+    found = rows.select(key, F.explode(last).alias("x")).select(key, "x.url", "x.link", "x.block")
     marked = F.coalesce(
-        *[F.nullif(H.first_text(F.col("link"), t), F.lit("")) for t in ("strong", "b", "h1", "h2", "h3")],
-        F.nullif(H.markup_text(H.element_with(F.col("link"), r"""data-testid=["'][^"']*title""")), F.lit("")),
+        *[T.null_if_empty(H.first_text(F.col("link"), t)) for t in ("strong", "b", "h1", "h2", "h3")],
+        T.null_if_empty(H.markup_text(H.element_with(F.col("link"), r"""data-testid=["'][^"']*title"""))),
         H.markup_text(F.col("link")),
     )
-    block = H.markup_text(F.col("block"))
-    found = found.withColumn(
-        "__address",
-        T.address_parts(F.when(F.length(block) > 20, block).otherwise(H.markup_text(F.col("link")))),
+    own = H.markup_text(F.col("link"))
+    card = T.let(
+        H.markup_text(F.col("block")), lambda b: F.when(F.length(b) > 20, b).otherwise(own)
     )
+    found = found.withColumn("__address", T.address_parts(card))
     return found.select(
         key,
         marked.alias("name"),
