@@ -48,8 +48,8 @@ def unescape(c: Column) -> Column:
 
     def resolve(t: Column) -> Column:
         named = F.when(t.contains("&#"), numeric(t)).otherwise(t)
-        for entity, char in ENTITIES.items():
-            named = F.replace(named, F.lit(entity), F.lit(char))
+        table = T.literal_pairs(("entity", "char"), ENTITIES.items())
+        named = F.aggregate(table, named, lambda acc, e: F.replace(acc, e["entity"], e["char"]))
         return F.when(t.contains("&"), named).otherwise(t)
 
     return T.let(c, resolve)

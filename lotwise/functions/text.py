@@ -7,7 +7,7 @@ except :func:`compose_unicode`, which needs Unicode normalisation.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,6 +125,27 @@ def compose_unicode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# -- literals -----------------------------------------------------------------
+
+
+def _sql_text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def literal_map(table: Mapping[str, str]) -> Column:
+    """A word map as one literal."""
+    return F.expr("map(" + ", ".join(_sql_text(x) for kv in table.items() for x in kv) + ")")
+
+
+def literal_pairs(names: tuple[str, str], rows: Iterable[tuple[str, str]]) -> Column:
+    """Rows of two words as one literal array of structs."""
+    items = ", ".join(
+        f"named_struct('{names[0]}', {_sql_text(a)}, '{names[1]}', {_sql_text(b)})" for a, b in rows
+    )
+    return F.expr(f"array({items})")
+
+
 # -- presence: four rules that must not be merged ---------------------------
 
 

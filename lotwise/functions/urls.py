@@ -245,8 +245,7 @@ def entry_key(
 def state_label(c: Column | str) -> Column:
     """State slug to its name; unknown slugs become title case."""
     slug = T.text(c)
-    names = F.create_map(*[F.lit(x) for kv in fixed.STATE_LABELS.items() for x in kv])
-    return F.coalesce(names[slug], F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
+    return F.coalesce(T.literal_map(fixed.STATE_LABELS)[slug], F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
 
 
 def config_fingerprint(settings: Column) -> Column:

@@ -57,13 +57,12 @@ def fold_sightings(df: DataFrame, keys: Sequence[str], order: str, fields: Seque
         lambda c: c["s"] > F.size(F.filter(first_orders, lambda o: o < c["o"])),
     )
     per_key = per_key.withColumn("__over", F.reverse(overrides))
-    result = []
-    for i, name in enumerate(fields):
-        holding = F.filter(F.col("__over"), lambda c, i=i: c["v"][f"f{i}"].isNotNull())
-        result.append(
-            F.coalesce(F.get(holding, F.lit(0))["v"][f"f{i}"], F.col(f"__f{i}")["v"]).alias(name)
-        )
-    return per_key.select(*keys, *result)
+
+    def value_of(place: str) -> Column:
+        holding = F.filter(F.col("__over"), lambda c: c["v"][place].isNotNull())
+        return F.coalesce(F.get(holding, F.lit(0))["v"][place], F.col(f"__{place}")["v"])
+
+    return per_key.select(*keys, *[value_of(f"f{i}").alias(f) for i, f in enumerate(fields)])
 
 
 # -- fill-only merges ----------------------------------------------------------

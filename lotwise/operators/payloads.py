@@ -103,10 +103,10 @@ def meaningful_strings(json_text: Column) -> Column:
 def search_listings(pages: DataFrame, key: str) -> DataFrame:
     """Raw listings of all search results: one row per listing, in page order."""
     objects = J.objects_with(F.col("payloads"), ["searchResults"])
-    rows = pages.select(key, F.posexplode(objects).alias("object_pos", "object"))
+    rows = pages.select(key, F.posexplode_outer(objects).alias("object_pos", "object"))
     parsed = F.from_json("object", "searchResults struct<listings array<string>>")
     return (
-        rows.select(key, "object_pos", F.posexplode(parsed["searchResults"]["listings"]).alias("pos", "listing"))
+        rows.select(key, "object_pos", F.posexplode_outer(parsed["searchResults"]["listings"]).alias("pos", "listing"))
         .filter(F.col("listing").startswith("{"))
     )
 
@@ -265,7 +265,7 @@ def listing_sightings(pages: DataFrame, key: str, site: Marketplace = DEFAULT_SI
     object gives its search listings first, then itself.
     """
     objects = J.objects_with(F.col("payloads"), ["searchResults", "listingId"])
-    rows = pages.select(key, F.posexplode(objects).alias("object_pos", "object"))
+    rows = pages.select(key, F.posexplode_outer(objects).alias("object_pos", "object"))
     found = F.from_json("object", "searchResults struct<listings array<string>>, listingId string")
     inner = F.transform(
         F.filter(
@@ -278,7 +278,7 @@ def listing_sightings(pages: DataFrame, key: str, site: Marketplace = DEFAULT_SI
         U.is_listing_id(found["listingId"]),
         F.array(F.struct(F.lit(False).alias("search"), F.col("object").alias("raw"))),
     ).otherwise(F.array().cast("array<struct<search:boolean,raw:string>>"))
-    items = rows.select(key, "object_pos", F.posexplode(F.concat(inner, itself)).alias("pos", "item"))
+    items = rows.select(key, "object_pos", F.posexplode_outer(F.concat(inner, itself)).alias("pos", "item"))
     items = items.select(
         key,
         (F.col("object_pos").cast("bigint") * 1_000_000 + F.col("pos")).alias("ord"),
@@ -332,7 +332,9 @@ def detail_links(pages: DataFrame, key: str, html: str = "html", site: Marketpla
             F.transform(F.concat(F.col("__ids"), F.col("__raw")), lambda i: U.vehicle_url(i, site)),
         )
     )
-    return rows.select(key, F.posexplode(urls).alias("pos", "url"))
+    return rows.select(key, F.posexplode_outer(urls).alias("pos", "url")).filter(
+        F.col("url").isNotNull()
+    )
 
 
 # -- categories ---------------------------------------------------------------------
@@ -498,9 +500,9 @@ def category_options(
 
     codes = F.array(*[F.lit(c) for c in fixed.CATEGORY_LABELS])
     found = F.array_sort(F.filter(F.transform(codes, of_value), lambda o: o["pos"].isNotNull()))
-    return rows.select(key, F.posexplode(found).alias("place", "o")).select(
+    return rows.select(key, F.posexplode_outer(found).alias("place", "o")).select(
         key, "place", "o.value", "o.label", "o.count", "o.url"
-    )
+    ).filter(F.col("value").isNotNull())
 
 
 def category_values(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -509,7 +511,7 @@ def category_values(pages: DataFrame, key: str, html: str = "html") -> DataFrame
         key, "value", F.col("place").cast("bigint").alias("ord")
     )
     objects = pages.select(
-        key, F.posexplode(J.objects_with(F.col("payloads"), _CATEGORY_KEYS)).alias("n", "obj")
+        key, F.posexplode_outer(J.objects_with(F.col("payloads"), _CATEGORY_KEYS)).alias("n", "obj")
     )
     options = F.from_json(F.get_json_object("obj", "$.options"), "array<string>")
     mentions = F.concat(
@@ -520,7 +522,7 @@ def category_values(pages: DataFrame, key: str, html: str = "html") -> DataFrame
             F.array().cast("array<string>"),
         ),
     )
-    named = objects.select(key, "n", F.posexplode(mentions).alias("i", "raw")).select(
+    named = objects.select(key, "n", F.posexplode_outer(mentions).alias("i", "raw")).select(
         key,
         T.without_placeholder("raw").alias("value"),
         (F.lit(1000) + F.col("n").cast("bigint") * 1_000_000 + F.col("i")).alias("ord"),
@@ -776,9 +778,9 @@ def payload_key_hits(listings: DataFrame, keys: list[str], raw: str = "listing")
     """Target keywords in the keys of raw listings: field, path and 300 characters."""
     words = sorted({w for ws in fixed.TARGET_KEYWORDS.values() for w in ws})
     found = J.keyed_values(F.array(F.col(raw)), words)
-    rows = listings.select(*keys, F.posexplode(found).alias("n", "v"))
-    rows = rows.withColumn("field", F.explode(audit.key_fields(F.col("v.key"))))
-    return rows.select(
+    rows = listings.select(*keys, F.posexplode_outer(found).alias("n", "v"))
+    rows = rows.withColumn("field", F.explode_outer(audit.key_fields(F.col("v.key"))))
+    return rows.filter(F.col("field").isNotNull()).select(
         *keys,
         "n",
         "field",

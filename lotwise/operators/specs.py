@@ -4,6 +4,9 @@ Every extractor yields an array of (label, value) pairs in the page's own row; t
 assembly concatenates them in their fixed order and keeps the first value per
 label.  The whole job is projections, staged with ``withColumn`` so that no
 pattern runs twice; it shuffles nothing.
+
+Arrays are exploded with the ``outer`` form and a filter on the element after it:
+a plain ``explode`` infers a size filter and computes the whole array a second time.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ def _pair(label: Column | str, value: Column) -> Column:
 def _canonical_map() -> Column:
     names = {label.lower(): label for label in fixed.SPEC_LABELS}
     names.update({alias.lower(): label for alias, label in fixed.SPEC_LABEL_ALIASES.items()})
-    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return T.literal_map(names)
 
 
 def canonical_label(c: Column) -> Column:
@@ -78,7 +81,7 @@ def neighbour_pairs(texts: Column) -> Column:
 
 def state_pairs(objects: Column) -> Column:
     """Pairs out of the page's initial-state objects: label/value and tag/value."""
-    tags = F.create_map(*[F.lit(x) for kv in fixed.STATE_TAG_LABELS.items() for x in kv])
+    tags = T.literal_map(fixed.STATE_TAG_LABELS)
 
     def of(o: Column) -> Column:
         return T.let(F.from_json(o, "label string, value string, tag string"), pairs)
@@ -230,9 +233,7 @@ def with_specs(pages: DataFrame, html: str = "html") -> DataFrame:
 def with_financing(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``financing`` (field map): list and table pairs, the last of a field
     wins; then ``Label:`` texts; then the rate pattern.  Needs ``page_text``."""
-    names = F.create_map(
-        *[F.lit(x) for label, f in fixed.FINANCING_LABELS.items() for x in (label.lower(), f)]
-    )
+    names = T.literal_map({label.lower(): f for label, f in fixed.FINANCING_LABELS.items()})
     page, words = F.col(html), F.col("page_text")
     stated = F.filter(
         F.transform(
@@ -382,7 +383,7 @@ def target_fields(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     wanted = F.array(
         *[_pair(f, F.coalesce(F.col("specs")[f], F.lit(""))) for f in fixed.LOW_COVERAGE_FIELDS]
     )
-    found = rows.select(key, F.explode(wanted).alias("p")).select(
+    found = rows.select(key, F.explode_outer(wanted).alias("p")).select(
         key, F.col("p.label").alias("field"), F.col("p.value").alias("value")
     )
     return found.filter(P.valid_target_value(F.col("field"), F.col("value")))
@@ -574,7 +575,8 @@ def directory_dealers(
             F.concat(acc, F.array(x))
         ),
     )
-    found = rows.select(key, F.explode(last).alias("x")).select(key, "x.url", "x.link", "x.block")
+    found = rows.select(key, F.explode_outer(last).alias("x")).select(key, "x.url", "x.link", "x.block")
+    found = found.filter(F.col("url").isNotNull())
     marked = F.coalesce(
         *[T.null_if_empty(H.first_text(F.col("link"), t)) for t in ("strong", "b", "h1", "h2", "h3")],
         T.null_if_empty(H.markup_text(H.element_with(F.col("link"), r"""data-testid=["'][^"']*title"""))),

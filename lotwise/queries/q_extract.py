@@ -14,20 +14,17 @@ from lotwise.functions import html as H
 from lotwise.functions import payload as J
 from lotwise.functions import text as T
 from lotwise.operators import audit, cards, payloads, specs
-from lotwise.queries.base import BASE, LISTINGS, pick, query, run, s, table
+from lotwise.queries.base import BASE, BLANKS, LISTINGS, pick, query, run, s, table
 
 # -- the given pages ---------------------------------------------------------------
 
-_TEXT_SQL = (
-    "trim(regexp_replace(replace(replace(replace(replace(replace(replace("
-    "regexp_replace(regexp_replace({x}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), "
-    "'</?[a-zA-Z!][^>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
-    "'&#39;', ''''), '&amp;', '&'), '[\\s\\x{{a0}}]+', ' ', 'g'))"
-)
-
-
 def text_sql(x: str) -> str:
-    return _TEXT_SQL.format(x=x)
+    """Visible text of markup, in DuckDB SQL."""
+    hidden = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
+    t = f"regexp_replace(regexp_replace({x}, '{hidden}', ' ', 'g'), '</?[a-zA-Z!][^>]*>', ' ', 'g')"
+    for entity, char in H.ENTITIES.items():
+        t = f"replace({t}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({t}, '{BLANKS}', ' ', 'g'))"
 
 
 @query(
@@ -173,7 +170,7 @@ SELECT lkey, pos, label, value FROM (SELECT lkey, unnest([
 )
 def _(spark, sf_dir):
     rows = run(spark, sf_dir, _DL).withColumn("pairs", H.definition_pairs(F.col("dl")))
-    return rows.select("lkey", F.posexplode("pairs").alias("pos", "p")).select("lkey", "pos", "p.label", "p.value")
+    return rows.select("lkey", F.posexplode_outer("pairs").alias("pos", "p")).select("lkey", "pos", "p.label", "p.value")
 
 
 @query(
@@ -185,7 +182,7 @@ SELECT lkey, pos, label, value FROM (SELECT lkey, unnest([
 )
 def _(spark, sf_dir):
     rows = run(spark, sf_dir, _DL).withColumn("pairs", H.table_pairs(F.col("tab")))
-    return rows.select("lkey", F.posexplode("pairs").alias("pos", "p")).select("lkey", "pos", "p.label", "p.value")
+    return rows.select("lkey", F.posexplode_outer("pairs").alias("pos", "p")).select("lkey", "pos", "p.label", "p.value")
 
 
 _FLAT = f"""
@@ -209,7 +206,7 @@ SELECT lkey, label, value FROM (SELECT lkey, unnest([{{'label': 'Baureihe', 'val
 )
 def _(spark, sf_dir):
     rows = run(spark, sf_dir, _FLAT).withColumn("m", specs.first_values(specs.neighbour_pairs(H.leaf_texts(F.col("flat")))))
-    return rows.select("lkey", F.explode("m").alias("label", "value"))
+    return rows.select("lkey", F.explode_outer("m").alias("label", "value"))
 
 
 @query(
@@ -224,7 +221,7 @@ def _(spark, sf_dir):
         "o", J.objects_with(specs.initial_state_text(F.col("state")), ["label", "tag"], prefix=True)
     )
     rows = rows.withColumn("m", specs.first_values(specs.state_pairs(F.col("o"))))
-    return rows.select("lkey", F.explode("m").alias("label", "value"))
+    return rows.select("lkey", F.explode_outer("m").alias("label", "value"))
 
 
 @query(
@@ -244,7 +241,7 @@ def _(spark, sf_dir):
     "quick_stats",
     f"""
 SELECT lkey, CAST(km AS VARCHAR) AS km, concat(kw, ' kW') AS power, concat(lpad(CAST(mon AS VARCHAR), 2, '0'), '/', yr) AS ez,
-  'diesel' AS fuel, 'Automatik' AS gear, concat(co2, ' g/km') AS co2, '1998 cm³' AS ccm, CASE WHEN model IN ('208', '320 Touring') THEN 'Sport' WHEN model = 'i30' THEN 'Sport' ELSE concat('Sport ', model, ' S') END AS trim_line
+  'diesel' AS fuel, 'Automatik' AS gear, concat(co2, ' g/km') AS co2, '1998 cm³' AS ccm, CASE WHEN model IN ('208', '320 Touring') THEN 'Sport' ELSE concat('Sport ', model, ' S') END AS trim_line
 FROM ({BASE})
 """,
 )
@@ -281,7 +278,7 @@ def _(spark, sf_dir):
     rows = run(spark, sf_dir, _DL).withColumn(
         "m", specs.first_values(F.concat(H.definition_pairs(F.col("dl")), H.table_pairs(F.col("tab"))))
     )
-    return rows.select("lkey", F.explode("m").alias("label", "value"))
+    return rows.select("lkey", F.explode_outer("m").alias("label", "value"))
 
 
 @query(
@@ -294,7 +291,7 @@ SELECT lkey, label, value FROM (SELECT lkey, unnest([{{'label': 'Bank', 'value':
 def _(spark, sf_dir):
     rows = run(spark, sf_dir, _DETAIL).withColumn("page_text", H.markup_text(F.col("html")))
     rows = specs.with_financing(rows)
-    return rows.select("lkey", F.explode("financing").alias("label", "value"))
+    return rows.select("lkey", F.explode_outer("financing").alias("label", "value"))
 
 
 @query(
@@ -530,7 +527,7 @@ FROM ({BASE})
 )
 def _(spark, sf_dir):
     rows = run(spark, sf_dir, _LOOSE)
-    rows = rows.withColumn("o", F.explode(J.objects_with(F.array("doc"), ["listingId"])))
+    rows = rows.withColumn("o", F.explode_outer(J.objects_with(F.array("doc"), ["listingId"])))
     rows = rows.withColumn("strings", payloads.meaningful_strings(F.col("o")))
     c = payloads.loose_columns(F.col("o"), F.col("strings"))
     names = {
@@ -757,8 +754,8 @@ def _(spark, sf_dir):
     "keyword_excerpts",
     f"""
 WITH k(field, keyword) AS (VALUES {", ".join(f"('{f}', '{w}')" for f, ws in fixed.TARGET_KEYWORDS.items() for w in ws)}),
-hits AS (SELECT doc_id, field, keyword, text, strpos(lower(text), keyword) AS at FROM documents, k WHERE strpos(lower(text), keyword) > 0)
-SELECT doc_id, field, keyword, trim(regexp_replace(substr(text, greatest(1, at - 160), at + 300 - greatest(1, at - 160)), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS excerpt
+hits AS (SELECT doc_id, field, keyword, text, strpos(lower(text), keyword) AS hit FROM documents, k WHERE strpos(lower(text), keyword) > 0)
+SELECT doc_id, field, keyword, trim(regexp_replace(substr(text, greatest(1, hit - 160), hit + 300 - greatest(1, hit - 160)), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS excerpt
 FROM hits
 """.replace("\\\\", "\\"),
 )
@@ -771,7 +768,8 @@ def _(spark, sf_dir):
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '$.k' AS path FROM events",
 )
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("v", F.explode(J.keyed_values(F.array("props"), ["k"])))
+    rows = table(spark, sf_dir, "events").withColumn("v", F.explode_outer(J.keyed_values(F.array("props"), ["k"])))
+    rows = rows.filter(F.col("v").isNotNull())
     return rows.select(
         "event_id", F.col("v.value").cast("bigint").alias("k"), F.concat(F.lit("$."), F.col("v.path")).alias("path")
     )
