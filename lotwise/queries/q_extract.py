@@ -14,7 +14,7 @@ from lotwise.functions import html as H
 from lotwise.functions import payload as J
 from lotwise.functions import text as T
 from lotwise.operators import audit, cards, payloads, specs
-from lotwise.queries.base import BASE, BLANKS, LISTINGS, pick, query, run, s, table
+from lotwise.queries.base import BASE, BLANKS, LISTINGS, clean_sql, pick, query, run, s, table
 
 # -- the given pages ---------------------------------------------------------------
 
@@ -750,17 +750,21 @@ def _(spark, sf_dir):
 # -- keyword evidence ---------------------------------------------------------------------------
 
 
+_WORDS = [("en", "that "), ("en", "with"), ("fr", "pour"), ("de", "nicht"), ("es", "que"), ("any", "copyright")]
+
+
 @query(
     "keyword_excerpts",
     f"""
-WITH k(field, keyword) AS (VALUES {", ".join(f"('{f}', '{w}')" for f, ws in fixed.TARGET_KEYWORDS.items() for w in ws)}),
-hits AS (SELECT doc_id, field, keyword, text, strpos(lower(text), keyword) AS hit FROM documents, k WHERE strpos(lower(text), keyword) > 0)
-SELECT doc_id, field, keyword, trim(regexp_replace(substr(text, greatest(1, hit - 160), hit + 300 - greatest(1, hit - 160)), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS excerpt
+WITH k(field, keyword) AS (VALUES {", ".join(f"('{f}', '{w}')" for f, w in _WORDS)}),
+hits AS (SELECT doc_id, field, keyword, text, strpos(lower(text), keyword) AS hit FROM documents JOIN k ON strpos(lower(text), keyword) > 0)
+SELECT doc_id, field, keyword, {clean_sql('substr(text, greatest(1, hit - 160), hit + 300 - greatest(1, hit - 160))')} AS excerpt
 FROM hits
-""".replace("\\\\", "\\"),
+""",
 )
 def _(spark, sf_dir):
-    return audit.keyword_excerpts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    words = T.literal_pairs(("field", "keyword"), _WORDS)
+    return audit.keyword_excerpts(table(spark, sf_dir, "documents"), "text", ["doc_id"], words)
 
 
 @query(
