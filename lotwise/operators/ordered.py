@@ -283,3 +283,41 @@ def progress_marks(
             ).otherwise(0.0),
         }
     )
+
+
+def traversal_report(
+    entries: DataFrame, vendor: str, category: str, place: str, key: str, cap: int = 0
+) -> DataFrame:
+    """Per vendor and category: visited or skipped, why, and how many new listings.
+
+    A listing is new in the first category that shows it; categories after the one
+    that fills the vendor's cap are skipped.  The window runs over at most a dozen
+    category rows per vendor, never over listings.
+    """
+    firsts = entries.groupBy(vendor, key).agg(F.min(place).alias(place))
+    fresh = firsts.groupBy(vendor, place).agg(F.count("*").alias("__new"))
+    shown = entries.select(vendor, category, place).distinct()
+    rows = shown.join(fresh, [vendor, place], "left").withColumn(
+        "__new", F.coalesce("__new", F.lit(0))
+    )
+    so_far = Window.partitionBy(vendor).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__before", F.coalesce(F.sum("__new").over(so_far), F.lit(0)))
+    full = (F.col("__before") + F.col("__new") >= cap) if cap else F.lit(False)
+    rows = rows.withColumn(
+        "__full",
+        F.min_by(F.when(full, F.col(category)), F.when(full, F.col(place))).over(
+            Window.partitionBy(vendor)
+        ),
+    )
+    visited = (F.col("__before") < cap) if cap else F.lit(True)
+    taken = F.least(F.col("__new"), F.lit(cap) - F.col("__before")) if cap else F.col("__new")
+    return rows.select(
+        vendor,
+        category,
+        visited.alias("visited"),
+        (~visited).alias("skipped"),
+        F.when(visited, F.lit(""))
+        .otherwise(F.concat(F.lit("max_cars_per_vendor reached after "), F.col("__full")))
+        .alias("skip_reason"),
+        F.when(visited, taken).otherwise(F.lit(0)).cast("bigint").alias("vehicle_count"),
+    )

@@ -153,8 +153,8 @@ def fold_status_events(events: DataFrame, key: str) -> DataFrame:
         F.max("seq").alias("last_seq"),
         F.max_by("kind", "seq").alias("last_status"),
         F.count_if(F.col("kind") == "processing").alias("starts"),
-        F.max_by(F.when(is_done, F.col("payload")), F.when(is_done, F.col("seq"))).alias("payload"),
-        F.max_by(F.when(is_failed, F.col("error")), F.when(is_failed, F.col("seq"))).alias("error"),
+        F.max(F.when(is_done, F.struct("seq", "payload"))).alias("payload"),
+        F.max(F.when(is_failed, F.struct("seq", "error"))).alias("error"),
         F.max_by("ts", "seq").alias("ts"),
     )
 
@@ -174,18 +174,18 @@ def _apply(state: DataFrame, key: str, events: DataFrame, payload: str | None) -
     latest = matching.groupBy("__k").agg(
         F.max_by("__last_status", "__last_seq").alias("__status"),
         F.sum("__starts").alias("__starts"),
-        F.max_by("__payload", F.when(F.col("__payload").isNotNull(), F.col("__last_seq"))).alias("__payload"),
-        F.max_by("__error", F.when(F.col("__error").isNotNull(), F.col("__last_seq"))).alias("__error"),
+        F.max("__payload").alias("__payload"),
+        F.max("__error").alias("__error"),
         F.max_by("__ts", "__last_seq").alias("__ts"),
     )
     joined = state.join(latest, F.col(key) == F.col("__k"), "left")
     changes = {
         "status": F.coalesce("__status", "status"),
-        "last_error": F.coalesce("__error", "last_error"),
+        "last_error": F.coalesce(F.col("__error.error"), F.col("last_error")),
         "updated_at": F.coalesce(F.col("__ts").cast("string"), F.col("updated_at")),
     }
     if payload:
-        changes[payload] = F.coalesce("__payload", payload)
+        changes[payload] = F.coalesce(F.col("__payload.payload"), F.col(payload))
     if "attempts" in state.columns:
         changes["attempts"] = F.col("attempts") + F.coalesce("__starts", F.lit(0))
     return joined.withColumns(changes).select(*state.columns)

@@ -293,7 +293,7 @@ def _(spark, sf_dir):
 
 # Cached fields of some ids; saved pages of others; the cache goes first.
 _CACHE = f"SELECT {s('10000000 + o_orderkey')} AS vehicle_id, concat('c', {s('o_orderkey')}) AS Farbe, '' AS Hubraum FROM orders WHERE o_orderstatus = 'F'"
-_SAVED = f"SELECT {s('10000000 + o_orderkey')} AS vehicle_id, '' AS Farbe, CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE concat('h', {s('o_orderkey')}) END AS Hubraum FROM orders WHERE o_orderkey < 4000"
+_SAVED = f"SELECT {s('10000000 + o_orderkey')} AS vehicle_id, '' AS Farbe, CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE concat('h', {s('o_orderkey')}) END AS Hubraum FROM orders WHERE o_orderpriority <> '5-LOW'"
 
 
 def _enriched(spark, sf_dir):
@@ -380,10 +380,10 @@ def _(spark, sf_dir):
 
 @query(
     "vendor_listing_counts",
-    "SELECT s_suppkey, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 49 GROUP BY s_suppkey",
+    "SELECT s_suppkey, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' GROUP BY s_suppkey",
 )
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49))
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
     return with_listing_counts(
         table(spark, sf_dir, "supplier").select("s_suppkey"), lines.withColumnRenamed("l_suppkey", "s_suppkey"), "s_suppkey", "n"
     )
@@ -412,7 +412,7 @@ def _(spark, sf_dir):
 
 _OUTCOMES = """
 SELECT event_id, event_type IN ('error', 'click') AS failed, CASE WHEN event_id % 2 = 0 THEN 'uc-popup' ELSE '' END AS fetch_strategy,
-       CAST(403 AS INT) AS fetch_status, 'home_redirect' AS detail_status FROM events WHERE event_id % 10 <> 3
+       CAST(403 AS INT) AS fetch_status, 'home_redirect' AS detail_status FROM events WHERE event_type <> 'purchase'
 """
 
 
