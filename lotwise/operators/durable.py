@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,15 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """The table written once under the checkpoint folder and read back.
+
+    For wide tables that many reports read: Parquet hands every reader only the
+    columns it asks for, where a checkpoint would hand it whole rows.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lotwise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from lotwise import fixed
 from lotwise.operators import clean, coverage, dedupe, enrich, merge, report, specs, validate
 from lotwise.operators.classify import classify_vehicles
 from lotwise.operators.contract import error_shape, require_columns
-from lotwise.operators.durable import materialize
+from lotwise.operators.durable import store
 from lotwise.site import DEFAULT_SITE, Marketplace
 from lotwise.sources import records, sinks
 
@@ -36,12 +36,11 @@ def report_tables(
 ) -> dict[str, DataFrame]:
     """The 19 report tables.
 
-    The cleaned tables feed about a dozen aggregates, so they are materialised
-    once; every table after that reads the checkpoint with only the columns it
-    needs.
+    The cleaned tables feed about a dozen aggregates, so they are stored once;
+    every table after that reads the stored Parquet with only the columns it needs.
     """
-    vendors = materialize(clean.clean_vendors(vendors_raw, site))
-    vehicles = materialize(processed_vehicles(vehicles_raw, run_id, now))
+    vendors = store(clean.clean_vendors(vendors_raw, site))
+    vehicles = store(processed_vehicles(vehicles_raw, run_id, now))
     errors = merge.normalize_errors(errors, run_id, F.lit(now))
     require_columns(vendors, site.vendor_fields, "vendors")
     require_columns(vehicles, fixed.VEHICLE_FIELDS, "vehicles")
