@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise import fixed
+from lotwise.functions import text as T
 from lotwise.operators import clean, coverage, dedupe, enrich, merge, report, specs, validate
 from lotwise.operators.classify import classify_vehicles
-from lotwise.operators.contract import error_shape, require_columns
+from lotwise.operators.contract import ensure_columns, error_shape, require_columns
 from lotwise.operators.durable import store
 from lotwise.site import DEFAULT_SITE, Marketplace
 from lotwise.sources import records, sinks
@@ -119,7 +120,11 @@ def enrich_offline(
     parsed = specs.detail_records(saved_pages, "vehicle_id")
     offline = {"cache": cache, "manual-html": parsed}
     chain = [(m, offline[m]) for m in enrich.method_chain(methods) if m in offline]
-    return enrich.enrich(vehicles, chain, "vehicle_id", order, cap=cap)
+    shaped = ensure_columns(vehicles, [order, *fixed.VEHICLE_FIELDS])
+    shaped = shaped.withColumn(
+        "source_vehicle_url", T.first_filled("source_vehicle_url", "Vehicle_URL")
+    )
+    return enrich.enrich(shaped, chain, "vehicle_id", order, cap=cap)
 
 
 def valid(tables: Mapping[str, DataFrame], **limits) -> DataFrame:
