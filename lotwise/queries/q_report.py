@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lotwise import fixed
 from lotwise.operators import audit, clean, coverage, report, validate
 from lotwise.operators.classify import classify_vehicles
+from lotwise.operators.durable import store
 from lotwise.plans import reprocess
 from lotwise.queries.base import BASE, EXPECTED, LISTINGS, listings, pick, present_sql, query, run, s, table
 from lotwise.queries.q_dedupe import _ERRORS, _NORMAL_ERRORS
@@ -46,6 +47,12 @@ def cars(spark, sf_dir):
     return rows.withColumn("Vehicle_URL", F.col("lkey"))
 
 
+def scored_cars(spark, sf_dir):
+    """The columns that scores read, stored once: bounds and scores both scan them."""
+    metrics = dict.fromkeys(m.source for m in [*report.DEAL_METRICS, *report.EFFICIENCY_METRICS])
+    return store(cars(spark, sf_dir).select("Vehicle_URL", *metrics))
+
+
 _CARS = f"SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in EXPECTED.items())} FROM ({LISTINGS})"
 
 # -- shares and summaries -------------------------------------------------------------------
@@ -143,17 +150,17 @@ def _top(df, score, metrics):
 
 @query("deal_top20", _ranked(_DEAL, "ASC"))
 def _(spark, sf_dir):
-    return _top(report.best_deals(cars(spark, sf_dir)), "Deal_Score", _DEAL)
+    return _top(report.best_deals(scored_cars(spark, sf_dir)), "Deal_Score", _DEAL)
 
 
 @query("deal_bottom20", _ranked(_DEAL, "DESC"))
 def _(spark, sf_dir):
-    return _top(report.worst_deals(cars(spark, sf_dir)), "Deal_Score", _DEAL)
+    return _top(report.worst_deals(scored_cars(spark, sf_dir)), "Deal_Score", _DEAL)
 
 
 @query("efficient_top20", _ranked(_EFFICIENT, "ASC"))
 def _(spark, sf_dir):
-    return _top(report.efficient_vehicles(cars(spark, sf_dir)), "Efficiency_Score", _EFFICIENT)
+    return _top(report.efficient_vehicles(scored_cars(spark, sf_dir)), "Efficiency_Score", _EFFICIENT)
 
 
 @query(
@@ -161,7 +168,7 @@ def _(spark, sf_dir):
     f"SELECT lkey, round(s0, 9) AS price_score, round(s1, 9) AS mileage_score, round(s2, 9) AS age_score, round(s4, 9) AS co2_score, CAST(metric_count AS INTEGER) AS metric_count FROM {_scored(_DEAL)}",
 )
 def _(spark, sf_dir):
-    done = report.with_scores(cars(spark, sf_dir), report.DEAL_METRICS)
+    done = report.with_scores(scored_cars(spark, sf_dir), report.DEAL_METRICS)
     return done.select(
         F.col("Vehicle_URL").alias("lkey"),
         *[F.round(c, 9).alias(c) for c in ("price_score", "mileage_score", "age_score", "co2_score")],
