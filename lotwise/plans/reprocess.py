@@ -117,7 +117,8 @@ def enrich_offline(
     cap: int = 0,
 ) -> DataFrame:
     """Vehicles filled from cached fields and saved pages, in method order."""
-    parsed = specs.detail_records(saved_pages, "vehicle_id")
+    # Stored, as later filters on the parsed fields would run the extraction again.
+    parsed = store(specs.detail_records(saved_pages, "vehicle_id"))
     offline = {"cache": cache, "manual-html": parsed}
     chain = [(m, offline[m]) for m in enrich.method_chain(methods) if m in offline]
     shaped = ensure_columns(vehicles, [order, *fixed.VEHICLE_FIELDS])
