@@ -251,7 +251,7 @@ def _confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def work(pairs: pa.Table, held: pa.Table) -> pa.Table:
         node, blobs = longs(held["node"]), held["hashes"].to_pylist()
-        row = {k: i for i, k in enumerate(node.tolist())}
+        row = {k: i for i, k in enumerate(node.tolist())}  # any of equal sets
         sizes = np.array([len(b) // 8 for b in blobs], np.int64)
         _, dense = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)
         first = np.r_[0, np.cumsum(sizes)]
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text").mapInArrow(named, "node long, hashes binary")
-    sets = store(sets.dropDuplicates(["node"]))
+    sets = store(sets)  # a text that comes twice under one id is there twice, which does no harm
 
     first = store(_confirmed(_as_asked(stars), sets, percent))
     labels = components(first, "x", "y")

@@ -14,7 +14,7 @@ windows.  Three steps settle all of them:
    also in a smaller document is removed as a whole.  A run whose 25-byte name is found
    with no other run is done.
 2. What is left are edges of repeats: runs that share their 25-byte name with a different
-   run.  Their windows' 50-byte names are sorted one by one.
+   run of another document.  Their windows' 50-byte names are sorted one by one.
 3. The removed windows come back to their documents.
 
 Names are 64-bit hashes of equal length strings, so equal names stand for equal strings.
@@ -39,7 +39,8 @@ OFFSETS = (1, 2, 4, 8, 9)
 HALF, WINDOW = 25, 50
 #: A run is one representative's windows; its name and that of its run, the document (a number
 #: in the bucket and its id), the run's first window, its windows, and whether it is settled.
-_RUN = (4, 6, 8, 4, 4, 1, 1)
+#: A name's low digits are its bucket, so nine bytes and the bucket tell runs apart.
+_RUN = (4, 5, 8, 4, 4, 1, 1)
 _SPOT = (8, 8, 4, 4)
 _SPAN = (4, 4, 4)
 _BITS = U64(22)
@@ -162,8 +163,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         kinds = group - np.maximum.accumulate(np.where(~same_name, group, 0)) if len(order) else group  # how many other runs came before
         last = np.r_[np.flatnonzero(~same_name)[1:], len(order)] - 1 if len(order) else order
         mixed = np.repeat(kinds[last] > 0, np.diff(np.r_[np.flatnonzero(~same_name), len(order)])) if len(order) else same_name
-        edge = mixed & ~whole
-        rows, flag = np.r_[done, order[whole], order[edge]], np.r_[np.ones(len(done) + whole.sum(), np.int64), np.zeros(edge.sum(), np.int64)]
+        edge = np.flatnonzero(mixed & ~whole)
+        if len(edge):  # a name whose edges all lie in one document has nothing to compare
+            first = np.flatnonzero(np.r_[True, name[order][edge][1:] != name[order][edge][:-1]])
+            own = doc[order][edge]
+            many = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+            edge = edge[np.repeat(many, np.diff(np.r_[first, len(edge)]))]
+        rows, flag = np.r_[done, order[whole], order[edge]], np.r_[np.ones(len(done) + whole.sum(), np.int64), np.zeros(len(edge), np.int64)]
         to, blocks = packed.split(source[rows], [row[rows], start[rows], (count[rows] * 2 + flag.astype(U64))], _SPAN)
         return packed.batch(to, blocks)
 
