@@ -189,12 +189,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
             halves = half_names(data[spots])
             at = np.arange(count[e].sum()) + np.repeat(base[:-1] - np.r_[0, np.cumsum(count[e])[:-1]], count[e])
             inside = at - np.repeat(base[:-1], count[e])
-            parts.append((windows_of(halves, at), np.repeat(row[e], count[e]), np.repeat(start[e], count[e]) + inside))
-        name, r, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            parts.append((windows_of(halves, at), np.repeat(row[e], count[e]), np.repeat(start[e], count[e]) + inside, np.repeat(e, count[e])))
+        name, r, s, run = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
+        # Windows that this bucket alone proves repeated go back to it, as stretches of their run.
+        order = np.lexsort((ids[r], name))
+        group = np.cumsum(np.r_[True, name[order][1:] != name[order][:-1]]) if len(name) else order
+        settled = np.zeros(len(name), bool)
+        settled[order] = ids[r][order] > _smaller(ids[r][order], group)
+        known = np.flatnonzero(settled)
+        first = np.flatnonzero(np.r_[True, (np.diff(known) != 1) | (run[known[1:]] != run[known[:-1]])]) if len(known) else known
+        stretch = np.diff(np.r_[first, len(known)])
+        open_ = ~settled
+        ids_, blocks = packed.split((name[open_] % U64(n)).astype(np.int64), [name[open_], ids[r[open_]], r[open_], s[open_]], _SPOT)
         whole = flag == 1
-        # Whole runs pass through to their own document's bucket: name 0 of one window each is never asked for.
-        ids_, blocks = packed.split((name % U64(n)).astype(np.int64), [name, ids[r], r, s], _SPOT)
-        own, passed = packed.split(np.full(whole.sum(), bucket), [row[whole], start[whole], count[whole]], _SPAN)
+        back = [np.r_[row[whole], r[known[first]]], np.r_[start[whole], s[known[first]]], np.r_[count[whole], stretch]]
+        own, passed = packed.split(np.full(len(back[0]), bucket), back, _SPAN)
         kinds = [bucket] * len(ids_) + [-1] * len(own)
         return packed.batch([*ids_, *own], [*blocks, *passed], source=pa.array(kinds, pa.int32()))
 
