@@ -13,8 +13,9 @@ windows.  Three steps settle all of them:
 1. (25-byte name, name of the whole run's text, document) is sorted.  A run whose text is
    also in a smaller document is removed as a whole.  A run whose 25-byte name is found
    with no other run is done.
-2. What is left are edges of repeats: runs that share their 25-byte name with a different
-   run of another document.  Their windows' 50-byte names are sorted one by one.
+2. What is left are edges of repeats: runs that share their 25-byte name, and the 13 bytes
+   behind it or the 12 before it, with a different run of another document.  (A window has
+   12 bytes before or 13 behind its representative.)  Their windows' 50-byte names are sorted one by one.
 3. The removed windows come back to their documents.
 
 Names are 64-bit hashes of equal length strings, so equal names stand for equal strings.
@@ -38,9 +39,12 @@ from lotwise.llm.columns import CHUNK, U64, longs, mix, pair, sliding_min, utf8
 OFFSETS = (1, 2, 4, 8, 9)
 HALF, WINDOW = 25, 50
 #: A run is one representative's windows; its name and that of its run, the document (a number
-#: in the bucket and its id), the run's first window, its windows, and whether it is settled.
-#: A name's low digits are its bucket, so nine bytes and the bucket tell runs apart.
-_RUN = (4, 5, 8, 4, 4, 1, 1)
+#: in the bucket and its id), the run's first window, its windows, and flags: settled, and whether
+#: the run reaches 12 bytes to the left and 13 to the right.  The name of a run has 40 bits of the
+#: whole text's name and 12 each of the left and the right side's.  A 25-byte name's low digits are
+#: its bucket; two that fall together are still told apart by their runs' names.
+_RUN = (3, 8, 8, 4, 4, 1, 1)
+LEFT, RIGHT = 12, 13
 _SPOT = (8, 8, 4, 4)
 _SPAN = (4, 4, 4)
 _BITS = U64(22)
@@ -76,7 +80,7 @@ def _stretches(offsets: np.ndarray):
 
 
 def _runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one representative: 25-byte name, name of the run's text, first window, windows.
+    """Runs of windows with one representative: 25-byte name, name of the run's text, first window, windows, flags.
 
     ``inside`` tells of every position whether a window that begins there lies in one text.
     """
@@ -84,7 +88,7 @@ def _runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none.astype(U64), none.astype(U64), none, none
+        return none.astype(U64), none.astype(U64), none, none, none
     # The places break ties; within a window, equal texts have them in equal order.
     least = sliding_min((halves >> _BITS << _BITS) | np.arange(len(halves), dtype=U64), WINDOW - HALF + 1)[:n]
     at = np.flatnonzero(inside[:n])
@@ -93,9 +97,12 @@ def _runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (spot[1:] != spot[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(at)])
-    start = at[first]
-    text = pair(windows_of(halves, start), windows_of(halves, start + count - 1)) + count.astype(U64)
-    return halves[spot[first]], mix(text), start, count
+    start, p = at[first], spot[first]
+    text = mix(pair(windows_of(halves, start), windows_of(halves, start + count - 1)) + count.astype(U64)) & U64((1 << 40) - 1)
+    left, right = start <= p - LEFT, start + count - 1 + WINDOW >= p + HALF + RIGHT
+    for has, side, shift in ((left, p - LEFT, 40), (right, p + RIGHT, 52)):
+        text |= np.where(has, halves[np.where(has, side, 0)] & U64(0xFFF), U64(0)) << U64(shift)
+    return halves[p], text, start, count, 2 * left + 4 * right
 
 
 def _sorted_docs(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,10 +144,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
             ends = np.repeat(offsets[i + 1 : j + 1], np.diff(offsets[i : j + 1])) if j > i + 1 else np.full(b - a, offsets[j])
             ends = ends[: b - a] if j > i + 1 else ends
             at = np.arange(a, b)
-            name, text, start, count = _runs(data[a:b], at + WINDOW <= ends)
+            name, text, start, count, flags = _runs(data[a:b], at + WINDOW <= ends)
             row = np.searchsorted(offsets, start + a, "right") - 1
-            parts.append((name, text, row, start + a - offsets[row], count))
-        name, text, row, start, count = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
+            parts.append((name, text, row, start + a - offsets[row], count, flags))
+        name, text, row, start, count, flags = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 6
         doc = ids[row]
         # Runs that this bucket alone proves repeated need no sorting elsewhere; they go wherever their document's number sends them.
         order = np.lexsort((doc, text, name)) if len(name) else np.zeros(0, np.int64)
@@ -148,11 +155,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         settled = np.zeros(len(name), np.int64)
         settled[order] = doc[order] > _smaller(doc[order], group)
         to = np.where(settled == 1, row % n, (name % U64(n)).astype(np.int64)) if len(name) else row
-        ids_, blocks = packed.split(to, [(name // U64(n)), text, doc, row, start, count, settled], _RUN)
+        ids_, blocks = packed.split(to, [(name // U64(n)), text, doc, row, start, count, flags + settled], _RUN)
         return packed.batch(ids_, blocks, source=pa.array([bucket] * len(ids_), pa.int32()))
 
     def sort_runs(table: pa.Table) -> pa.Table:
-        (name, text, doc, row, start, count, settled), block = packed.unpack(table["block"].to_pylist(), _RUN)
+        (name, text, doc, row, start, count, flags), block = packed.unpack(table["block"].to_pylist(), _RUN)
+        settled = flags & U64(1)
         source, doc = np.asarray(table["source"].combine_chunks())[block], _signed(doc)
         done, open_ = np.flatnonzero(settled == 1), np.flatnonzero(settled == 0)
         order = open_[np.lexsort((doc[open_], text[open_], name[open_]))]
@@ -163,13 +171,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         kinds = group - np.maximum.accumulate(np.where(~same_name, group, 0)) if len(order) else group  # how many other runs came before
         last = np.r_[np.flatnonzero(~same_name)[1:], len(order)] - 1 if len(order) else order
         mixed = np.repeat(kinds[last] > 0, np.diff(np.r_[np.flatnonzero(~same_name), len(order)])) if len(order) else same_name
-        edge = np.flatnonzero(mixed & ~whole)
-        if len(edge):  # a name whose edges all lie in one document has nothing to compare
-            first = np.flatnonzero(np.r_[True, name[order][edge][1:] != name[order][edge][:-1]])
-            own = doc[order][edge]
-            many = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
-            edge = edge[np.repeat(many, np.diff(np.r_[first, len(edge)]))]
-        rows, flag = np.r_[done, order[whole], order[edge]], np.r_[np.ones(len(done) + whole.sum(), np.int64), np.zeros(len(edge), np.int64)]
+        edge = order[mixed & ~whole]
+        keep = np.zeros(len(edge), bool)
+        for bit, shift in ((2, 40), (4, 52)):  # a side shared with another document
+            has = np.flatnonzero(flags[edge] & U64(bit))
+            side = (text[edge[has]] >> U64(shift)) & U64(0xFFF)
+            has, side = (x[np.lexsort((side, name[edge[has]]))] for x in (has, side))
+            key, own = name[edge[has]], doc[edge[has]]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]) if len(has) else has
+            many = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first) if len(has) else np.zeros(0, bool)
+            keep[has[np.repeat(many, np.diff(np.r_[first, len(has)]))]] = True
+        edge = edge[keep]
+        rows, flag = np.r_[done, order[whole], edge], np.r_[np.ones(len(done) + whole.sum(), np.int64), np.zeros(len(edge), np.int64)]
         to, blocks = packed.split(source[rows], [row[rows], start[rows], (count[rows] * 2 + flag.astype(U64))], _SPAN)
         return packed.batch(to, blocks)
 
