@@ -39,8 +39,8 @@ from lotwise.llm.columns import CHUNK, U64, longs, mix, pair, sliding_min, utf8
 OFFSETS = (1, 2, 4, 8, 9)
 HALF, WINDOW = 25, 50
 #: A run is one representative's windows; its name and that of its run, the document (a number
-#: in the bucket and its id), the run's first window, its windows, and flags: settled, and whether
-#: the run reaches 12 bytes to the left and 13 to the right.  The name of a run has 40 bits of the
+#: in the bucket and its id), the run's first window, its windows, and flags: settled, whether the
+#: run reaches 12 bytes to the left and 13 to the right, and where its representative lies in it.  The name of a run has 40 bits of the
 #: whole text's name and 12 each of the left and the right side's.  A 25-byte name's low digits are
 #: its bucket; two that fall together are still told apart by their runs' names.
 _RUN = (3, 8, 8, 4, 4, 1, 1)
@@ -102,7 +102,7 @@ def _runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
     left, right = start <= p - LEFT, start + count - 1 + WINDOW >= p + HALF + RIGHT
     for has, side, shift in ((left, p - LEFT, 40), (right, p + RIGHT, 52)):
         text |= np.where(has, halves[np.where(has, side, 0)] & U64(0xFFF), U64(0)) << U64(shift)
-    return halves[p], text, start, count, 2 * left + 4 * right
+    return halves[p], text, start, count, 2 * left + 4 * right + 8 * (p - start)
 
 
 def _sorted_docs(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,16 +172,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         last = np.r_[np.flatnonzero(~same_name)[1:], len(order)] - 1 if len(order) else order
         mixed = np.repeat(kinds[last] > 0, np.diff(np.r_[np.flatnonzero(~same_name), len(order)])) if len(order) else same_name
         edge = order[mixed & ~whole]
-        keep = np.zeros(len(edge), bool)
-        for bit, shift in ((2, 40), (4, 52)):  # a side shared with another document
+        shared = np.zeros((2, len(edge)), bool)
+        for at, bit, shift in ((0, 2, 40), (1, 4, 52)):  # a side shared with another document
             has = np.flatnonzero(flags[edge] & U64(bit))
             side = (text[edge[has]] >> U64(shift)) & U64(0xFFF)
             has, side = (x[np.lexsort((side, name[edge[has]]))] for x in (has, side))
             key, own = name[edge[has]], doc[edge[has]]
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]) if len(has) else has
             many = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first) if len(has) else np.zeros(0, bool)
-            keep[has[np.repeat(many, np.diff(np.r_[first, len(has)]))]] = True
-        edge = edge[keep]
+            shared[at, has[np.repeat(many, np.diff(np.r_[first, len(has)]))]] = True
+        # Without the left side, only windows with fewer than 12 bytes before the representative can be shared.
+        offset, size = (flags[edge] >> U64(3)).astype(np.int64), count[edge].astype(np.int64)
+        low = np.where(shared[0], 0, np.maximum(offset - LEFT + 1, 0))
+        high = np.where(shared[1], size, np.minimum(offset - LEFT, size))
+        some = np.flatnonzero(high > low)
+        edge = edge[some]
+        start[edge] += low[some].astype(U64)
+        count[edge] = (high - low)[some].astype(U64)
         rows, flag = np.r_[done, order[whole], edge], np.r_[np.ones(len(done) + whole.sum(), np.int64), np.zeros(len(edge), np.int64)]
         to, blocks = packed.split(source[rows], [row[rows], start[rows], (count[rows] * 2 + flag.astype(U64))], _SPAN)
         return packed.batch(to, blocks)
