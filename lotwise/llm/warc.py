@@ -1,7 +1,7 @@
 """WARC archives of pages, and the merged index of their captures.
 
 Archives are written by Spark's text writer: a record is one line of it, and what ends a
-record is the line separator.  Each archive read back is a run of captures; runs are
+record is the line separator.  Places in the index are those in the archive unzipped.  Each archive read back is a run of captures; runs are
 sorted where they are read, and within each range of URL keys a loser tree merges them
 into one order of URL key, timestamp and page.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -126,8 +127,8 @@ def stamp(page_id: int | None) -> str:
 
 
 def write_archives(rows: DataFrame, path: str, per_file: int = RECORDS) -> None:
-    """The records as WARC files under ``path``."""
-    rows.select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    """The records as gzipped WARC files under ``path``."""
+    rows.select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -156,6 +157,7 @@ def captures(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 for at, length, fields, block in parse(data):
                     again = fields["WARC-Type"] == "revisit"
                     number = lambda f: int(v) if (v := f.removeprefix("<urn:page:").removesuffix(">")) else None
@@ -215,5 +217,5 @@ def archived(pages: DataFrame, path: str, smallest: int = 0, id_col: str = "page
     """
     write_archives(records(pages, smallest, id_col, url_col, html_col), path)
     spark = pages.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return merged(store(captures(files.filter(F.col("length") > 0))))
