@@ -80,10 +80,19 @@ def _walk(root, visit) -> None:
 def _parse(text: str, prefix: bool):
     try:
         return json.JSONDecoder().raw_decode(text)[0] if prefix else json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested too deep to read
         return None
 
 
+def _plain(text: str) -> str:
+    """Halves of surrogate pairs, which no column can hold, become '?'."""
+    return text.encode("utf-8", "replace").decode()
+
+
+def _text(node) -> str:
+    return _plain(json.dumps(node, ensure_ascii=False))
+
+
 def objects_with(texts: Column, keys: Sequence[str], *, prefix: bool = False) -> Column:
     """Nested objects that have one of the keys, as JSON texts, parents first.
 
@@ -100,7 +109,7 @@ def objects_with(texts: Column, keys: Sequence[str], *, prefix: bool = False) ->
 
             def visit(_path, _key, node):
                 if isinstance(node, dict) and any(k in node for k in wanted):
-                    found.append(json.dumps(node, ensure_ascii=False))
+                    found.append(_text(node))
 
             for text in row:
                 _walk(_parse(text, prefix), visit)
@@ -124,7 +133,7 @@ def keyed_values(texts: Column, words: Sequence[str]) -> Column:
 
             def visit(path, key, node):
                 if key is not None and any(w in key.lower() for w in wanted):
-                    found.append({"key": key, "path": path, "value": str(node)})
+                    found.append({"key": _plain(key), "path": _plain(path), "value": _plain(str(node))})
 
             for text in row:
                 _walk(_parse(text, False), visit)

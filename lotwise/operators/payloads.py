@@ -281,7 +281,7 @@ def listing_sightings(pages: DataFrame, key: str, site: Marketplace = DEFAULT_SI
     items = rows.select(key, "object_pos", F.posexplode_outer(F.concat(inner, itself)).alias("pos", "item"))
     items = items.select(
         key,
-        (F.col("object_pos").cast("bigint") * 1_000_000 + F.col("pos")).alias("ord"),
+        (F.shiftleft(F.col("object_pos").cast("bigint"), 32) + F.col("pos")).alias("ord"),
         F.col("item.search").alias("search"),
         F.col("item.raw").alias("raw"),
     )

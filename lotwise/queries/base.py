@@ -18,8 +18,6 @@ TABLES = [
 ]
 
 Query = Callable[[SparkSession, str], DataFrame]
-# Tables whose rows carry the work; the others are small dimensions.
-SPREAD = {"lineitem", "documents", "pages", "orders", "events"}
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -36,14 +34,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.  One that comes in fewer files than there are cores is spread
-    over them first, as a lone file with one row group would keep one core busy and
-    leave the others idle; a table of many files is left as it is read."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, as it is read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
