@@ -6,14 +6,14 @@ work per byte is a few numpy passes and no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once.  Bounds the temporary arrays (about eight bytes a byte each).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U64 = np.uint64
 _BASE, _C1, _C2 = U64(0x9E3779B97F4A7C15 | 5), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -30,6 +30,47 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+def release() -> None:
+    """Gives memory that is free inside this worker back to the system, as the next stage may be another's."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def lean(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of one group; the worker keeps no memory of a group that is done."""
+
+    def alone(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
+
+    return alone
+
+
+def lean_pair(work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for the function of two groups with one key."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            release()
+
+    return both
+
+
+def lean_batches(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for the function of a partition's batches."""
+
+    def each(batches: Iterator) -> Iterator:
+        for out in work(batches):
+            yield out
+        release()
+
+    return each
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and where each begins (one more offset than texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.columns import ALNUM, U64, grams, longs, pair, runs, sliding_min, utf8, word_hashes, word_spans
+from lotwise.llm.columns import ALNUM, U64, grams, lean_batches, longs, pair, runs, sliding_min, utf8, word_hashes, word_spans
 from lotwise.operators.durable import store
 
 #: Words of a fingerprint; with windows of span - GRAM + 1 of them.
@@ -157,7 +157,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         own = own.append_column("n_hit", pa.array(upto[first[1:]] - upto[first[:-1]]))
                     yield from own.append_column("items", pa.array([sorted(f) for f in found], pa.list_(pa.int64()))).to_batches()
 
-        return rows.mapInArrow(work, f"{kinds}, n_words long, {'hit array<long>' if many else 'n_hit long'}, items array<long>")
+        return rows.mapInArrow(lean_batches(work), f"{kinds}, n_words long, {'hit array<long>' if many else 'n_hit long'}, items array<long>")
 
     if not many:
         out = of_block(0)

@@ -120,7 +120,7 @@ def fit(rows: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows:
                     [pa.array([names_of[k] for k in both[0].tolist()], pa.string()), pa.array(both[1]), pa.array(count.astype(np.int64))], ["lang", "name", "n"]
                 )
 
-    counted = known.select("lang", "text").mapInArrow(work, "lang string, name long, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
+    counted = known.select("lang", "text").mapInArrow(lean_batches(work), "lang string, name long, n long").groupBy("lang", "name").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "name")
     best = counted.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= PER_LANGUAGE)
     kept = best.groupBy("lang").agg(F.collect_list("name").alias("names")).collect()
@@ -168,7 +168,7 @@ def identify(rows: DataFrame, model: Model, text_col: str = "text", out: str = "
                 scores[i:j][ok] = s[np.arange(j - i), best][ok]
             yield from t.append_column(out, pa.array(langs.tolist(), pa.string())).append_column(score, pa.array(scores)).to_batches()
 
-    found = flagged.mapInArrow(work, f"{kinds}, `{out}` string, `{score}` double")
+    found = flagged.mapInArrow(lean_batches(work), f"{kinds}, `{out}` string, `{score}` double")
     return found.select(*[F.col(f"`{c}`") for c in names], out, score)
 
 

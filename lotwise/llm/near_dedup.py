@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm import packed
-from lotwise.llm.columns import SPACED, U64, grams, longs, mix, runs, text_hash, utf8, word_hashes, word_spans
+from lotwise.llm.columns import SPACED, U64, grams, lean, lean_batches, lean_pair, longs, mix, runs, text_hash, utf8, word_hashes, word_spans
 from lotwise.llm.components import components
 from lotwise.operators.durable import store
 
@@ -122,7 +122,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        work, "id long, n long, node long, other long, signature binary"
+        lean_batches(work), "id long, n long, node long, other long, signature binary"
     )
 
 
@@ -167,9 +167,9 @@ def groups(classes: DataFrame) -> DataFrame:
         )
 
     found = (
-        packed.dealt(classes.select("node", "signature").mapInArrow(indexed, packed.SCHEMA), n)
+        packed.dealt(classes.select("node", "signature").mapInArrow(lean_batches(indexed), packed.SCHEMA), n)
         .groupBy("bucket")
-        .applyInArrow(shared, "gid long, key int, size long, nodes array<long>")
+        .applyInArrow(lean(shared), "gid long, key int, size long, nodes array<long>")
     )
     once = found.groupBy("gid").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("nodes").alias("nodes"))
     return once.select("gid", "key", "size", F.explode("nodes").alias("node"))
@@ -230,7 +230,7 @@ def _across(members: DataFrame) -> DataFrame:
     left = rows.filter("rest").select("*", F.lit(0).alias("side"), F.pmod(own, lefts).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"))
     right = rows.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), F.pmod(own, rights).alias("j"))
     both = left.unionByName(right).select("gid", "i", "j", "side", "node", "label", "vblock", "rest", "key", "signature")
-    return both.groupBy("gid", "i", "j").applyInArrow(work, "vblock long, x long, ys binary")
+    return both.groupBy("gid", "i", "j").applyInArrow(lean(work), "vblock long, x long, ys binary")
 
 
 def _confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     need = asked.mapInArrow(wanted, "vblock long, node long").distinct()
     held = need.join(sets, "node").select("vblock", "node", "hashes")
-    return asked.groupBy("vblock").cogroup(held.groupBy("vblock")).applyInArrow(work, "x long, y long")
+    return asked.groupBy("vblock").cogroup(held.groupBy("vblock")).applyInArrow(lean_pair(work), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 75) -> DataFrame:
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ["node", "hashes"],
             )
 
-    sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text").mapInArrow(named, "node long, hashes binary")
+    sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text").mapInArrow(lean_batches(named), "node long, hashes binary")
     sets = store(sets)  # a text that comes twice under one id is there twice, which does no harm
 
     first = store(_confirmed(_as_asked(stars), sets, percent))

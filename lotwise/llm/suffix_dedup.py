@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import packed
-from lotwise.llm.columns import CHUNK, U64, longs, mix, pair, sliding_min, utf8
+from lotwise.llm.columns import CHUNK, U64, lean, lean_pair, longs, mix, pair, sliding_min, utf8
 
 #: Offsets of the doubling that make the name of a half window, and length of a window.
 OFFSETS = (1, 2, 4, 8, 9)
@@ -271,13 +271,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         return pa.table(out)
 
     marked = f"{packed.SCHEMA}, source int"
-    runs = packed.dealt(dealt.groupBy("bucket").applyInArrow(find_runs, marked), n)
-    spans = packed.dealt(runs.groupBy("bucket").applyInArrow(sort_runs, packed.SCHEMA), n)
-    edges = packed.dealt(dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(name_edges, marked), n)
-    final = packed.dealt(edges.groupBy("bucket").applyInArrow(sort_edges, packed.SCHEMA), n)
+    runs = packed.dealt(dealt.groupBy("bucket").applyInArrow(lean(find_runs), marked), n)
+    spans = packed.dealt(runs.groupBy("bucket").applyInArrow(lean(sort_runs), packed.SCHEMA), n)
+    edges = packed.dealt(dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(lean_pair(name_edges), marked), n)
+    final = packed.dealt(edges.groupBy("bucket").applyInArrow(lean(sort_edges), packed.SCHEMA), n)
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if carry is not None:
         kinds += ", kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name.startswith("__c"))
-    result = dealt.groupBy("bucket").cogroup(final.groupBy("bucket")).applyInArrow(cut, kinds)
+    result = dealt.groupBy("bucket").cogroup(final.groupBy("bucket")).applyInArrow(lean_pair(cut), kinds)
     own = [c for c in result.columns if not c.startswith("__c")]
     return result.select(*own, *[F.col(f"__c{i}").alias(f"carried_{c}" if c in own else c) for i, c in enumerate(carry or ())])
