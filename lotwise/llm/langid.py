@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.columns import LOWER, U64, mix, runs, utf8
+from lotwise.llm.columns import LOWER, U64, lean_batches, mix, runs, utf8
 
 NGRAM, HASHES = 4, 3
 #: Slots of the filter, and n-grams of a language in it.

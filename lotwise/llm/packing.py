@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm import tokens
-from lotwise.llm.columns import longs
+from lotwise.llm.columns import lean_batches, longs
 from lotwise.operators.durable import store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
