@@ -30,7 +30,7 @@ def definitions() -> dict[str, tuple[str, str]]:
     money = _quoted(fixed.MONEY_PATTERN)
     percent = "CASE WHEN contains(x, ',') THEN replace(replace(x, '.', ''), ',', '.') ELSE x END"
     states = " ".join(
-        f"WHEN x BETWEEN '{a:02d}' AND '{b:02d}' THEN '{state}'" for a, b, state in fixed.POSTCODE_THOUSANDS
+        f"WHEN x BETWEEN '{a // 1000:02d}' AND '{b // 1000:02d}' THEN '{state}'" for a, b, state in fixed.POSTCODE_RANGES
     )
     countries = " ".join(
         f"WHEN upper(clean_text(x)) IN ({_words(words)}) THEN '{name}'"

@@ -9,7 +9,7 @@ from lotwise import fixed
 from lotwise.functions import text as T
 
 _GERMANY = "Deutschland"
-STATE_NAMES = sorted({state for _, _, state in fixed.POSTCODE_THOUSANDS})
+STATE_NAMES = sorted({state for _, _, state in fixed.POSTCODE_RANGES})
 
 
 def country_name(c: Column | str) -> Column:
@@ -37,8 +37,9 @@ def state_of_postcode(c: Column | str) -> Column:
     a literal array of 100 states.
     """
     by_thousand = [""] * 100
-    for first, last, state in fixed.POSTCODE_THOUSANDS:
-        by_thousand[first : last + 1] = [state] * (last - first + 1)
+    for first, last, state in fixed.POSTCODE_RANGES:
+        thousands = range(first // 1000, last // 1000 + 1)
+        by_thousand[thousands.start : thousands.stop] = [state] * len(thousands)
     states = F.array(*[F.lit(s) for s in by_thousand])
     thousand = T.match_or_null(T.clean_text(c), r"(?U)\b(\d{2})\d{3}\b", 1).try_cast("int")
     return F.coalesce(F.get(states, thousand), F.lit(""))

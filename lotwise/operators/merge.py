@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lotwise import fixed
 from lotwise.functions import predicates as P
 from lotwise.functions import text as T
+from lotwise.functions import urls
+from lotwise.site import DEFAULT_SITE, Marketplace
 
 # -- fold of repeated sightings ----------------------------------------------
 
@@ -17,52 +19,70 @@ from lotwise.functions import text as T
 def fold_sightings(df: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
     """One record per key from its sightings, in order.
 
-    Each sighting fills what is still empty; one with strictly more filled fields
-    than the record so far overrides it instead.  The fold looks sequential, but
-    two facts make it a pair of aggregates that combine on the map side:
+    Each sighting fills what is still empty; one that scores strictly more than the
+    record so far overrides it instead.  The score counts fields with text other than
+    white space; a field of nothing but white space is filled all the same, and its
+    value stays.  The fold looks sequential, but aggregates that combine on the map
+    side do most of it:
 
-    * the record's field set before a sighting is every field with an earlier first
-      occurrence, so first occurrences (one per field) give its size;
-    * a sighting can only override if it is the first with its number of filled
-      fields, so at most one candidate per count remains.
+    * a field that no override holds has its first occurrence, one row per field;
+    * the record's score never falls, since an override brings at least its own score,
+      and it is no less than that of any earlier sighting.  So only the first sighting
+      of each score can override, and at most one candidate per score remains.
 
     A key therefore shrinks to at most ``len(fields)`` candidates before anything
-    is brought together, no matter how many sightings it has.  A field ends up
-    with the last override that has it, else with its first occurrence.
+    is brought together, no matter how many sightings it has; those are folded.
     """
     fields = list(fields)
-    filled = {f: F.nullif(T.field(f).cast("string"), F.lit("")) for f in fields}
-    score = sum((v.isNotNull().cast("int") for v in filled.values()), F.lit(0))
-    values = F.struct(*[v.alias(f"f{i}") for i, v in enumerate(filled.values())])
-    firsts = F.struct(
-        *[
-            F.when(v.isNotNull(), F.struct(F.col(order).alias("o"), v.alias("v"))).alias(f"f{i}")
-            for i, v in enumerate(filled.values())
-        ]
-    )
+    places = [f"f{i}" for i in range(len(fields))]
+    filled = [F.nullif(T.field(f).cast("string"), F.lit("")) for f in fields]
+    counts = [T.clean_text(v) != "" for v in filled]
+    held = [F.when(v.isNotNull(), F.struct(v.alias("v"), n.alias("n"))) for v, n in zip(filled, counts)]
     rows = df.select(
-        *keys, F.col(order).alias("__o"), score.alias("__s"), values.alias("__v"), firsts.alias("__f")
-    ).filter(F.col("__s") > 0)
+        *keys,
+        F.col(order).alias("__o"),
+        sum((n.cast("int") for n in counts), F.lit(0)).alias("__s"),
+        F.struct(*[h.alias(p) for h, p in zip(held, places)]).alias("__v"),
+    ).filter(F.coalesce(*[F.col(f"__v.{p}.v") for p in places]).isNotNull())
+
+    def first(place: str) -> Column:
+        cell = F.col(f"__v.{place}")
+        return F.min(F.when(cell.isNotNull(), F.struct(F.col("__o").alias("o"), cell.alias("x")))).alias(f"__{place}")
+
     per_score = rows.groupBy(*keys, "__s").agg(
         F.min_by(F.struct(F.col("__o").alias("o"), F.col("__s").alias("s"), F.col("__v").alias("v")), "__o").alias("__c"),
-        *[F.min(F.col("__f")[f"f{i}"]).alias(f"__f{i}") for i in range(len(fields))],
+        *[first(p) for p in places],
     )
     per_key = per_score.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("__c")).alias("__cands"),
-        *[F.min(f"__f{i}").alias(f"__f{i}") for i in range(len(fields))],
+        F.array_sort(F.collect_list("__c")).alias("__cands"), *[F.min(f"__{p}").alias(f"__{p}") for p in places]
     )
-    first_orders = F.array(*[F.col(f"__f{i}")["o"] for i in range(len(fields))])
-    overrides = F.filter(
-        F.col("__cands"),
-        lambda c: c["s"] > F.size(F.filter(first_orders, lambda o: o < c["o"])),
+
+    def fold(record: Column, sighting: Column) -> Column:
+        def scores(place: str) -> Column:
+            early = F.when(F.col(f"__{place}.o") < sighting["o"], F.col(f"__{place}.x.n"))
+            return F.coalesce(record[place]["n"], early, F.lit(False)).cast("int")
+
+        before = sum((scores(p) for p in places), F.lit(0))
+        over = F.struct(*[F.coalesce(sighting["v"][p], record[p]).alias(p) for p in places])
+        return F.when(sighting["s"] > before, over).otherwise(record)
+
+    nothing = F.struct(*[F.lit(None).cast("struct<v:string,n:boolean>").alias(p) for p in places])
+    folded = per_key.withColumn("__over", F.aggregate("__cands", nothing, fold))
+    return folded.select(
+        *keys, *[F.coalesce(F.col(f"__over.{p}.v"), F.col(f"__{p}.x.v")).alias(f) for p, f in zip(places, fields)]
     )
-    per_key = per_key.withColumn("__over", F.reverse(overrides))
 
-    def value_of(place: str) -> Column:
-        holding = F.filter(F.col("__over"), lambda c: c["v"][place].isNotNull())
-        return F.coalesce(F.get(holding, F.lit(0))["v"][place], F.col(f"__{place}")["v"])
 
-    return per_key.select(*keys, *[value_of(f"f{i}").alias(f) for i, f in enumerate(fields)])
+def category_fold(
+    entries: DataFrame, vendor: str, order: str, fields: Sequence[str], site: Marketplace = DEFAULT_SITE
+) -> DataFrame:
+    """A vendor's entries of all its category pages, one per ``entry_key``, folded in order.
+
+    The key is the canonical URL, or the cleaned identity fields where there is none.
+    """
+    identity = [T.field(f) for f in fixed.ENTRY_IDENTITY_FIELDS]
+    keyed = entries.withColumn("entry_key", urls.entry_key(T.field("Vehicle_URL"), *identity, site=site))
+    return fold_sightings(keyed, [vendor, "entry_key"], order, fields)
 
 
 # -- fill-only merges ----------------------------------------------------------

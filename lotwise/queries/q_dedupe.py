@@ -165,39 +165,64 @@ def _(spark, sf_dir):
 
 # -- folds and fills ---------------------------------------------------------------------
 
+# Blank text fills a field but scores nothing.
 _SIGHTINGS = """
-SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS a,
-       CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS STRING) END AS b,
+SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN event_type WHEN event_id % 11 = 0 THEN '  ' ELSE '' END AS a,
+       CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS STRING) WHEN event_id % 7 = 0 THEN ' ' END AS b,
        CASE WHEN event_id % 5 = 0 THEN concat('c', CAST(event_id AS STRING)) END AS c,
-       concat('d', CAST(event_id % 7 AS STRING)) AS d
+       CASE WHEN event_id % 13 = 0 THEN ' ' ELSE concat('d', CAST(event_id % 7 AS STRING)) END AS d
 FROM events
 """
 
 
-@query(
-    "fold_merge",
-    f"""
-WITH RECURSIVE s AS (SELECT user_id, a, b, c, d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
-    nullif(a, '') AS na FROM ({_SIGHTINGS})),
+def _left_fold(sightings: str, keys: str, fields: str) -> str:
+    """The fold step by step: one recursion per sighting of a key."""
+    names = fields.split()
+    on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM f.{k}" for k in keys.split(", "))
+
+    def score(row: str) -> str:
+        return " + ".join(f"coalesce(trim({row}.{n}) <> '', false)::INT" for n in names)
+
+    blank = ", ".join(f"nullif({n}, '') AS {n}" for n in names)
+    step = ", ".join(f"CASE WHEN {score('s')} > {score('f')} THEN coalesce(s.{n}, f.{n}) ELSE coalesce(f.{n}, s.{n}) END AS {n}" for n in names)
+    own = ", ".join(f"f.{k}" for k in keys.split(", "))
+    return f"""
+WITH RECURSIVE s AS (SELECT {keys}, {blank}, row_number() OVER (PARTITION BY {keys} ORDER BY event_id) AS rn,
+    count(*) OVER (PARTITION BY {keys}) AS n_rows FROM ({sightings})),
 fold AS (
-  SELECT user_id, rn, na AS a, b, c, d FROM s WHERE rn = 1
+  SELECT {keys}, rn, n_rows, {', '.join(names)} FROM s WHERE rn = 1
   UNION ALL
-  SELECT s.user_id, s.rn,
-    CASE WHEN more THEN coalesce(s.na, f.a) ELSE coalesce(f.a, s.na) END, CASE WHEN more THEN coalesce(s.b, f.b) ELSE coalesce(f.b, s.b) END,
-    CASE WHEN more THEN coalesce(s.c, f.c) ELSE coalesce(f.c, s.c) END, CASE WHEN more THEN coalesce(s.d, f.d) ELSE coalesce(f.d, s.d) END
-  FROM (SELECT f.*, s.na AS sa, (s.na IS NOT NULL)::INT + (s.b IS NOT NULL)::INT + (s.c IS NOT NULL)::INT + 1 >
-      (f.a IS NOT NULL)::INT + (f.b IS NOT NULL)::INT + (f.c IS NOT NULL)::INT + (f.d IS NOT NULL)::INT AS more
-    FROM fold f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) f
-  JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1)
-SELECT user_id, arg_max(a, rn) FILTER (WHERE a IS NOT NULL) AS a, arg_max(b, rn) FILTER (WHERE b IS NOT NULL) AS b,
-  arg_max(c, rn) FILTER (WHERE c IS NOT NULL) AS c, arg_max(d, rn) FILTER (WHERE d IS NOT NULL) AS d
-FROM fold GROUP BY user_id
-""",
-)
+  SELECT {own}, s.rn, f.n_rows, {step} FROM fold f JOIN s ON {on} AND s.rn = f.rn + 1)
+SELECT {keys}, {', '.join(names)} FROM fold WHERE rn = n_rows
+"""
+
+
+@query("fold_merge", f"SELECT * FROM ({_left_fold(_SIGHTINGS, 'user_id', 'a b c d')}) WHERE coalesce(a, b, c, d) IS NOT NULL")
 def _(spark, sf_dir):
     return merge.fold_sightings(run(spark, sf_dir, _SIGHTINGS), ["user_id"], "event_id", ["a", "b", "c", "d"])
 
 
+# Entries with a link, and entries that only their identity fields tell apart.
+_ENTRIES = """
+SELECT user_id % 20 AS vendor, event_id,
+       CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('https://suchen.marktplatz.example/fahrzeuge/details.html?id=', CAST(100000 + user_id AS STRING)) END AS "Vehicle_URL",
+       concat(' M', CAST(user_id % 3 AS STRING), ' ') AS "Markes", event_type AS "Models", '1' AS "Preis",
+       CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '5 km' END AS "Kilometerstand", '' AS "Erstzulassung",
+       CASE WHEN event_id % 5 = 0 THEN '  ' WHEN event_id % 4 = 0 THEN concat('x', CAST(event_id AS STRING)) ELSE '' END AS farbe
+FROM events
+"""
+_ENTRY_FIELDS = ["Vehicle_URL", "Markes", "Models", "Preis", "Kilometerstand", "Erstzulassung", "farbe"]
+_KEYED = f"""
+SELECT *, CASE WHEN "Vehicle_URL" <> '' THEN "Vehicle_URL" ELSE concat_ws('|', trim("Markes"), trim("Models"), trim("Preis"), trim("Kilometerstand"), '') END AS entry_key FROM ({_ENTRIES})
+"""
+
+
+@query("category_fold", _left_fold(_KEYED, "vendor, entry_key", " ".join(_ENTRY_FIELDS)))
+def _(spark, sf_dir):
+    entries = run(spark, sf_dir, _ENTRIES.replace('"', "`"))
+    return merge.category_fold(entries, "vendor", "event_id", _ENTRY_FIELDS)
+
+
 _OLD = f"""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS Preis,
        CASE WHEN o_orderkey % 4 = 0 THEN 'nan' ELSE {s('o_custkey')} END AS Baureihe,

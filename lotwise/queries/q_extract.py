@@ -666,8 +666,8 @@ def _state_case(plz: str) -> str:
     return (
         "CASE "
         + " ".join(
-            f"WHEN CAST({plz} AS INT) BETWEEN {a * 1000} AND {b * 1000 + 999} THEN '{st}'"
-            for a, b, st in fixed.POSTCODE_THOUSANDS
+            f"WHEN CAST({plz} AS INT) BETWEEN {a} AND {b} THEN '{st}'"
+            for a, b, st in fixed.POSTCODE_RANGES
         )
         + " ELSE 'Bayern' END"
     )

@@ -118,7 +118,7 @@ SELECT c_custkey, {pick('c_custkey', _COUNTRIES)} AS country, lpad(CAST(c_custke
        CASE WHEN c_custkey % 2 = 0 THEN 'Bayern' ELSE 'Ligurien' END AS region
 FROM customer
 """
-_RANGES = _values([(a * 1000, b * 1000 + 999, st) for a, b, st in fixed.POSTCODE_THOUSANDS])
+_RANGES = _values(fixed.POSTCODE_RANGES)
 
 
 @query("country_names", f"SELECT c_custkey, {pick('c_custkey', _NAMES)} AS country FROM customer")

@@ -62,7 +62,7 @@ def _left_fold(sightings):
             state_ = dict(s)
             continue
         merged = {**s, **state_}
-        if len(s) > len(state_):
+        if sum(bool(v.strip()) for v in s.values()) > sum(bool(v.strip()) for v in state_.values()):
             merged = {**state_, **s}
         state_ = merged
     return state_
@@ -75,7 +75,7 @@ def test_fold_equals_the_left_fold_on_random_input(spark):
     for key in range(40):
         sightings = []
         for o in range(rng.randint(1, 12)):
-            s = {f: (f"{f}{key}.{o}" if rng.random() < 0.4 else rng.choice(["", None])) for f in fields}
+            s = {f: (f"{f}{key}.{o}" if rng.random() < 0.4 else rng.choice(["", None, "  "])) for f in fields}
             sightings.append(s)
             data.append((key, o, *s.values()))
         expected[key] = _left_fold(sightings)
