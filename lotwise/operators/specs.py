@@ -527,6 +527,20 @@ def static_vendor(vendors: DataFrame, site: Marketplace = DEFAULT_SITE) -> DataF
 _BLOCK = r"(?is)(?=<(?:article|li|section|tr|div|p)\b)"
 
 
+def static_directory(pages: DataFrame, html: str = "html", site: Marketplace = DEFAULT_SITE) -> DataFrame:
+    """Whether a plain directory page names a dealer at all, by a link or a URL in a script."""
+    page = T.text(F.col(html))
+    linked = F.exists(
+        F.split(page, _BLOCK),
+        lambda b: F.exists(H.anchors(b), lambda a: U.is_dealer_link(a["href"], site)),
+    )
+    urls = F.regexp_extract_all(page, F.lit(rf"https?://{T.quote(site.dealer_host)}/[A-Za-z0-9][A-Za-z0-9_-]*"), F.lit(0))
+    rows = pages.withColumn("valid", linked | F.exists(urls, lambda u: U.is_dealer_link(u, site)))
+    return rows.withColumn(
+        "invalid_reason", F.when(F.col("valid"), F.lit("")).otherwise(F.lit("no_dealers_in_static_html"))
+    )
+
+
 def directory_dealers(
     pages: DataFrame, key: str, html: str = "html", site: Marketplace = DEFAULT_SITE
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from lotwise.functions import payload as J
 from lotwise.functions import text as T
 from lotwise.operators import audit, cards, payloads, specs
 from lotwise.queries.base import BASE, BLANKS, LISTINGS, clean_sql, pick, query, run, s, table
+from lotwise.site import DEFAULT_SITE
 
 # -- the given pages ---------------------------------------------------------------
 
@@ -148,6 +149,52 @@ def _(spark, sf_dir):
     return specs.static_vehicle(run(spark, sf_dir, _MARKED_PAGES)).select("page_id", "invalid_reason", "valid")
 
 
+@query(
+    "vendor_valid",
+    """
+SELECT c_custkey, ok AS valid, CASE WHEN ok THEN '' ELSE 'missing_vendor_fields_in_static_html' END AS invalid_reason
+FROM (SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND (c_custkey % 3 = 0 OR c_custkey % 4 = 0) AS ok FROM customer)
+""",
+)
+def _(spark, sf_dir):
+    key = F.col("c_custkey")
+
+    def unless(missing, value):
+        return F.when(missing, F.lit("")).otherwise(value)
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows = rows.withColumns(
+        {
+            "Händlername": unless(key % 7 == 0, F.col("c_name")),
+            DEFAULT_SITE.link_field: F.concat(F.lit(f"https://{_HOME}/V"), key.cast("string")),
+            "PLZ": unless((key % 5 == 0) | (key % 2 == 0), F.lit("50667")),
+            "Städte": unless((key % 5 == 0) | (key % 2 == 1), F.lit("Köln")),
+            "Telephone Number": unless(key % 3 != 0, F.concat(F.lit("0221 "), key.cast("string"))),
+            "Email ID": F.lit(""),
+            "Hauptseite": F.lit(None).cast("string"),
+            fixed.VENDOR_COUNT_FIELD: F.when(key % 4 == 0, F.lit(0)),
+        }
+    )
+    return specs.static_vendor(rows).select("c_custkey", "valid", "invalid_reason")
+
+
+_DIRECTORIES = f"""
+SELECT page_id, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN concat('<ul><li><a href="https://{_HOME}/Auto', {s('page_id')}, '">A</a></li></ul>')
+  WHEN 1 THEN '<ul><li><a href="/impressum">I</a></li></ul>' WHEN 2 THEN concat('<script>var u="https://{_HOME}/Dritte', {s('page_id')}, '";</script>') END AS html
+FROM pages
+"""
+
+
+@query(
+    "directory_valid",
+    """
+SELECT page_id, page_id % 2 = 0 AS valid, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'no_dealers_in_static_html' END AS invalid_reason FROM pages
+""",
+)
+def _(spark, sf_dir):
+    return specs.static_directory(run(spark, sf_dir, _DIRECTORIES)).select("page_id", "valid", "invalid_reason")
+
+
 # -- detail pages ---------------------------------------------------------------------
 
 _DL = f"""
