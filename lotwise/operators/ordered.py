@@ -117,7 +117,7 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank"
     inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")
+        .join(offsets, "__part")
         .withColumn(name, F.col("__off") + inside + 1)
         .drop("__part", "__off", "__place")
     )
