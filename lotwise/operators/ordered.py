@@ -1,10 +1,10 @@
 """Operators that depend on row order: running totals, streaks, stops, ranks.
 
 A window over a whole group puts that group into one task, and one group may hold
-a third of the table.  :func:`scan` therefore cuts every group into chunks of
-consecutive positions, scans inside the chunks, scans the chunk totals (one row
-per chunk), and adds the two.  The position column must be a unique whole number,
-so a chunk never holds more than ``width`` rows.
+a third of the table.  :func:`scan` therefore ranks the rows by key and order, cuts
+the ranks into chunks, scans inside the chunks, scans the chunk totals (one row per
+chunk and key), and adds the two.  Ranks are dense, so a chunk holds ``width`` rows
+however far the order numbers lie apart.
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     )
 
 
+def chunked(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
+    """Rows with their dense rank by key and order (``__pos``) and its chunk (``__chunk``)."""
+    ranked = global_rank(df, [*keys, order], "__pos")
+    return ranked.withColumn("__chunk", F.floor((F.col("__pos") - 1) / F.lit(width)))
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,6 +45,8 @@ def scan(
 
     ``sums`` maps a new column to the number it adds up; ``streaks`` maps a new
     column to a flag, and counts the flagged rows since the last unflagged one.
+    Rows of one key with equal ``order`` (or none, which comes first) are taken in any
+    order, but in one and the same throughout.
     """
     sums, streaks = dict(sums or {}), dict(streaks or {})
     keys = list(keys)
@@ -48,10 +56,10 @@ def scan(
     parts = [*keys, "__chunk"]
     in_chunk = (
         Window.partitionBy(*parts)
-        .orderBy(order)
+        .orderBy("__pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = df.withColumn("__chunk", F.floor(F.col(order) / F.lit(width)))
+    rows = chunked(df, keys, order, width)
     rows = rows.withColumns({f"__flag_{n}": flag for n, flag in flags.items()})
     local = rows.withColumns({f"__run_{n}": F.sum(c).over(in_chunk) for n, c in adds.items()})
     local = local.withColumns(
@@ -64,7 +72,7 @@ def scan(
     )
 
     totals = local.groupBy(*parts).agg(
-        *[F.max_by(f"__run_{n}", order).alias(f"__tot_{n}") for n in adds],
+        *[F.max_by(f"__run_{n}", "__pos").alias(f"__tot_{n}") for n in adds],
         *[F.max(f"__base_{n}").alias(f"__last_{n}") for n in flags],
     )
     before = (

@@ -260,19 +260,26 @@ def _(spark, sf_dir):
     return coverage.required_coverage(vendors(spark, sf_dir), rows)
 
 
+_VENDOR_FIELDS = {"hid": "Händler ID", "s_name": "Händlername", "plz": "PLZ", "declared": fixed.VENDOR_COUNT_FIELD}
+_VENDOR_COVERAGE = " UNION ALL ".join(
+    f"SELECT round(count(*) FILTER (WHERE {present_sql(old)}) / count(*) * 100, 2) AS coverage_pct FROM ({_VENDORS})" for old in _VENDOR_FIELDS
+)
+
+
 @query(
     "coverage_report",
     f"""
 WITH c AS ({_COVERAGE})
-SELECT 'vehicles' AS dataset, round(avg(coverage_pct), 1) AS mean_pct, (SELECT string_agg(concat(field, ' (', printf('%.1f', coverage_pct), '%)'), ', ' ORDER BY field) FROM c
+SELECT 'vendors' AS dataset, round(avg(coverage_pct), 1) AS mean_pct, NULL AS low_fields FROM ({_VENDOR_COVERAGE})
+UNION ALL SELECT 'vehicles' AS dataset, round(avg(coverage_pct), 1) AS mean_pct, (SELECT string_agg(concat(field, ' (', printf('%.1f', coverage_pct), '%)'), ', ' ORDER BY field) FROM c
   WHERE field IN ('CO₂-Emissionen', 'Baureihe') AND coverage_pct < 90) AS low_fields FROM c
 """,
 )
 def _(spark, sf_dir):
-    done = _coverage(spark, sf_dir)
-    both = coverage.coverage_table(done.limit(0), done)
+    sellers = coverage.field_coverage(vendors(spark, sf_dir), list(_VENDOR_FIELDS.values()))
+    both = coverage.coverage_table(sellers, _coverage(spark, sf_dir))
     low = coverage.low_coverage_fields(both, below=90.0).withColumnRenamed("fields", "low_fields")
-    return coverage.mean_coverage(both).join(low.withColumn("dataset", F.lit("vehicles")), "dataset")
+    return coverage.mean_coverage(both).join(low.withColumn("dataset", F.lit("vehicles")), "dataset", "left")
 
 
 # -- compliance -------------------------------------------------------------------------------------

@@ -101,6 +101,15 @@ def test_scan_matches_plain_loops_across_chunks(spark):
         assert got[o] == (total[k], streak[k])
 
 
+def test_scan_fills_chunks_when_order_numbers_are_sparse(spark):
+    """Order numbers far apart: chunks of full width, so few totals meet in a window."""
+    rows = spark.range(400).select(F.lit("hot").alias("k"), (F.col("id") * 10**9).alias("o")).repartition(5)
+    chunks = ordered.chunked(rows, ["k"], "o", 50).groupBy("__chunk").count().collect()
+    assert sorted(r["count"] for r in chunks) == [50] * 8
+    done = ordered.scan(rows, ["k"], "o", sums={"n": F.lit(1)}, width=50)
+    assert sorted((r["o"], r["n"]) for r in done.collect()) == [(i * 10**9, i + 1) for i in range(400)]
+
+
 def test_global_rank_is_dense_and_sorted(spark):
     rows = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("x")).repartition(13)
     done = ordered.global_rank(rows, ["x"]).orderBy("rank").collect()
