@@ -1,7 +1,7 @@
 """Saved pages as columns: text, elements, links, label/value pairs.
 
 Pages are read with patterns inside the JVM; a page is one row and everything
-found in it stays in arrays of that row, so extraction never shuffles.
+found in it stays in arrays of that row, so nothing in this module shuffles.
 """
 
 from __future__ import annotations

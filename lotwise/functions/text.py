@@ -1,7 +1,8 @@
 """Text columns: cleaning, presence, placeholders, pattern matches.
 
-Every function maps a Column to a Column and stays inside whole-stage codegen,
-except :func:`compose_unicode`, which needs Unicode normalisation.
+Every function maps a Column to a Column inside the JVM, except
+:func:`compose_unicode`, which needs Unicode normalisation.  A projection that binds an
+expression with :func:`let` (an array function) runs outside whole-stage codegen.
 """
 
 from __future__ import annotations

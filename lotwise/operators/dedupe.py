@@ -2,7 +2,8 @@
 
 Winners are picked with ``max_by``/``min_by`` over the whole row.  Both combine on
 the map side, so a key that holds a third of the rows reaches its reducer as one
-row per map task; no group is ever sorted or collected.
+row per map task and no group is collected.  A winner that is a whole row has no hash
+buffer: Spark plans a sorted aggregate, which sorts each task's rows by key and spills.
 """
 
 from __future__ import annotations

@@ -94,14 +94,16 @@ SELECT page_id, unnest([
   {{'name': 'Zweite', 'url': concat('https://{_HOME}/ZWEITE', page_id), 'street': '', 'plz': '', 'city': ''}},
   {{'name': '', 'url': concat('https://{_HOME}/DRITTE', page_id), 'street': '', 'plz': '', 'city': ''}}], recursive := true)
 FROM pages
+UNION ALL SELECT page_id, arg_max(word, place), concat('https://{_HOME}/', path), '', '', ''
+FROM (SELECT *, upper(replace(word, 'ß', 'ss')) AS path FROM (SELECT page_id, unnest(words) AS word, generate_subscripts(words, 1) AS place
+  FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"/]+)">[^<]*</a></li>', 1) AS words FROM pages)))
+WHERE length(path) > 1 GROUP BY page_id, path
 """,
 )
 def _(spark, sf_dir):
     pages = run(spark, sf_dir, _DIRECTORY)
-    found = specs.directory_dealers(pages, "page_id")
     # Navigation links of the given pages are relative and look like dealers too.
-    made = F.upper("url").rlike(r"/(AUTO|ZWEITE|DRITTE)\d+$")
-    return found.filter(made)
+    return specs.directory_dealers(pages, "page_id")
 
 
 _MARKED_PAGES = f"""

@@ -211,11 +211,15 @@ def test_validation(spark):
     assert failed == ["class_values"]
 
 
-def test_hot_group_never_meets_in_one_task_window(spark):
-    """The cap sends at most ``spread * n`` rows of a group to the last window."""
-    rows = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id"))
+def test_cap_of_a_hot_group_limits_slices_before_the_group(spark):
+    """Two window stages, slices first, each with Spark's early limit, give the first rows."""
+    key = F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.lit("cold")).alias("k")
+    rows = spark.range(20_000).select(key, "id")
     got = ordered.cap_per_group(rows, ["k"], ["id"], 5, spread=8)
-    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 4, 9, 19, 29, 39, 49]
+    limits = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "WindowGroupLimit" in line]
+    assert any("__slice" in line and "Partial" in line for line in limits)
+    assert any("__slice" not in line for line in limits)
 
 
 def test_no_python_in_the_cleaning_projection(spark):
