@@ -19,12 +19,14 @@ def percent(present: Column, total: Column) -> Column:
 
 
 def field_coverage(
-    df: DataFrame, columns: Sequence[str], *, samples: bool = False, order: str | None = None
+    df: DataFrame, columns: Sequence[str], *, samples: bool = False, order: Column | str | None = None
 ) -> DataFrame:
     """Filled rows, all rows and percent per field: one pass, one aggregate row.
 
-    With ``samples`` each field also gets its first filled value in ``order``.
+    With ``samples`` each field also gets its first filled value in ``order``, or the
+    smallest one without it.
     """
+    first = F.col(order) if isinstance(order, str) else order
     names = list(dict.fromkeys(columns))
     have = set(df.columns)
     aggs = [F.count("*").alias("__n")]
@@ -33,7 +35,7 @@ def field_coverage(
         aggs.append(F.count_if(present).alias(f"__c{i}"))
         if samples:
             value = T.field(name).cast("string") if name in have else F.lit(None).cast("string")
-            place = F.when(present, F.col(order) if order else value)
+            place = F.when(present, value if first is None else first)
             aggs.append(F.min_by(value, place).alias(f"__s{i}"))
     one = df.agg(*aggs)
     rows = F.array(
@@ -206,7 +208,7 @@ def field_compliance(
     vehicles: DataFrame,
     site: Marketplace = DEFAULT_SITE,
     *,
-    order: str | None = None,
+    order: Column | str | None = None,
     audited: bool = False,
     detail_status: str = "",
 ) -> DataFrame:

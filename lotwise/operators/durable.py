@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -40,3 +41,8 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/lotwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def written_order() -> Column:
+    """Place of a row in a stored table: the order it was written in, however it is read."""
+    return F.struct("_metadata.file_name", "_metadata.row_index")

@@ -12,7 +12,7 @@ from lotwise.functions import text as T
 from lotwise.operators import clean, coverage, dedupe, enrich, merge, report, specs, validate
 from lotwise.operators.classify import classify_vehicles
 from lotwise.operators.contract import ensure_columns, error_shape, require_columns
-from lotwise.operators.durable import store
+from lotwise.operators.durable import store, written_order
 from lotwise.site import DEFAULT_SITE, Marketplace
 from lotwise.sources import records, sinks
 
@@ -58,7 +58,7 @@ def report_tables(
         "Run_Summary": summary.select("metric", "value"),
         "Data_Coverage": coverage.coverage_table(vendor_cov, vehicle_cov),
         "Requirements_Compliance": coverage.compliance_table(
-            vendors, vehicles, tables, summary, site
+            vendors, vehicles, tables, summary, site, order=written_order()
         ).drop("place"),
         "Errors": error_shape(errors),
         "Vendor_Summary": tables["vendor_summary"],

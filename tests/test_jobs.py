@@ -73,7 +73,7 @@ def test_reprocess_writes_a_valid_bundle(spark, tmp_path):
     vendors = [{"Händler ID": "C0000001", "Händlername": "A", DEFAULT_SITE.link_field: "/a", "Anzahl der Fahrzeuge": "7"}]
     cars = [
         {"Händler ID": "C0000001", "Markes": "BMW", "Fahrzeugtyp": "Kombi", "Preis": f"{i}.000 €", "Kilometerstand": f"{i} km", "Vehicle_URL": f"u{i}"}
-        for i in range(1, 4)
+        for i in (3, 1, 2)
     ]
     put(tmp_path / "in", "vendors_raw.json", vendors)
     put(tmp_path / "in", "cars_raw.json", cars)
@@ -85,6 +85,8 @@ def test_reprocess_writes_a_valid_bundle(spark, tmp_path):
     assert list(tables) == fixed.REPORT_TABLES
     assert reprocess.valid(tables, expected_vehicles=3).first()["valid"]
     assert tables["Best_Deals"].count() == 3 and tables["Requirements_Compliance"].count() == 59
+    samples = tables["Requirements_Compliance"].filter("dataset = 'vehicles' AND field_name = 'Kilometerstand'")
+    assert [r["sample_present_value"] for r in samples.collect()] == ["3 km"]  # the first row's, not the smallest
     stored = sinks.write_records(tables["Vehicles"].limit(2), str(tmp_path / "cars"), fixed.VEHICLE_FIELDS)
     assert stored.columns[:56] == fixed.VEHICLE_FIELDS
     assert spark.read.option("header", True).csv(str(tmp_path / "cars.csv")).count() == 2
