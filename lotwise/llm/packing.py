@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """A row per piece, with ``part`` and ``nth``: its number among the pieces of its length in its task."""
 
     def work(batches):
-        encoder, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = tokens.encoder(tokenizer, special=True), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its ``sequence_id`` and ``offset`` there.
 
-    A document is its ids and ``end_id``.  Only one longer than ``capacity`` is cut; its first
+    A document is its ids, a special token's among them, and ``end_id``.  Only one longer than ``capacity`` is cut; its first
     piece is what exceeds the full ones.  A null text is its end id; rows that repeat an id are
     documents of their own; an empty table gives no sequences.
     """

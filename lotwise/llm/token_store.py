@@ -87,14 +87,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Encodes every text, appends ``end_id``, and writes the shards in ascending order of the id.
 
     Rows are dealt out by ranges of the id and sorted inside; a null id comes first, rows that
-    repeat an id follow one another by text, a null text is its end id only.  Ids are stored in
-    ``width`` bytes; one that doesn't fit is an error.
+    repeat an id follow one another by text, a null text is its end id only.  A special token in a
+    text is its id.  Ids are stored in ``width`` bytes; one that doesn't fit is an error.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     placed = rows.repartitionByRange(packed.buckets(docs), "id").sortWithinPartitions("id", "text")
 
     def work(batches):
-        encoder, part, seq = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = tokens.encoder(tokenizer, special=True), TaskContext.get().partitionId(), 0
         names, kept, sizes, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:

@@ -2,7 +2,8 @@
 
 The tokenizer splits a text into words first and encodes each by itself.  A task keeps
 the ids of the words it has seen, so only new words reach the model.  A text with
-characters outside ASCII and the Latin-1 letters goes to the tokenizer as a whole.
+characters outside ASCII and the Latin-1 letters, or with a token that was added to the
+vocabulary, goes to the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -29,16 +30,22 @@ def _byte_letters() -> dict[int, int]:
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes; as a dict, of the words seen."""
+    """Ids of a text as little-endian 32-bit bytes; as a dict, of the words seen.
 
-    def __init__(self, path: str):
+    With ``special`` a special token in a text is its id, as by the library's defaults; without,
+    text that looks like one is text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # text that looks like one is text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         before = self.tokenizer.pre_tokenizer
         self.split = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and isinstance(self.tokenizer.model, BPE)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
@@ -56,21 +63,21 @@ class Encoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split and not _OTHER.search(text):
+        if self.split and not _OTHER.search(text) and not (self.added and self.added.search(text)):
             return b"".join([self[w] for w in _WORD.findall(text)])
         from array import array
 
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """This task process's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def public(name: str = "byte_bpe_50k.json") -> str:
