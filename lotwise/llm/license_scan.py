@@ -4,11 +4,14 @@ All rolling word k-grams of a text that some template holds are joined with thei
 in the templates.  Matches of one template that lie on one diagonal (place in the text
 minus place in the template) belong together; so do those on neighbouring diagonals,
 where words were put in or left out.  A run of diagonals is a candidate; it is verified
-by the share of the template's words that its matches cover.
+by the share of the template's words that its matches cover.  A run that is too long for
+one copy is cut into the copies in it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,11 +86,54 @@ def _rolled(docs: DataFrame, known: np.ndarray, id_col: str, text_col: str) -> D
     return rows.mapInArrow(work, "doc_id long, text_key long, n_words long, grams array<struct<gram: long, spot: long>>")
 
 
+def copies(diagonals: Sequence[int], held: Sequence[Sequence[int]], size: int) -> list[tuple[int, int, float]]:
+    """First word, last word and share of every copy in a run of diagonals, the fullest and then the shortest first.
+
+    A copy is neighbouring diagonals of the run that hold enough of the template and aren't too
+    long; copies share no word.  As a copy's length is bounded, so are the diagonals tried for each.
+    """
+    found = []
+    for i in range(len(diagonals)):
+        covered: set[int] = set()
+        first, last = diagonals[i] + min(held[i]), 0
+        for j in range(i, len(diagonals)):
+            first, last = min(first, diagonals[j] + min(held[j])), max(last, diagonals[j] + max(held[j]) + GRAM - 1)
+            if last - first + 1 > STRETCH * size:
+                break
+            before = len(covered)
+            covered.update(p + k for p in held[j] for k in range(GRAM))
+            if len(covered) > before and len(covered) / size >= SHARE:
+                found.append((-len(covered), last - first, first, last))
+    firsts: list[int] = []
+    lasts: list[int] = []
+    out = []
+    for n, _, first, last in sorted(found):
+        at = bisect_left(firsts, first)
+        if (at == 0 or lasts[at - 1] < first) and (at == len(firsts) or last < firsts[at]):
+            firsts.insert(at, first)
+            lasts.insert(at, last)
+            out.append((first, last, -n / size))
+    return out
+
+
+def _cut(batches):
+    """Of every run that is too long for one copy the copies."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            parts = sorted((p["diagonal"], p["held"]) for p in row["parts"])
+            for first, last, share in copies([d for d, _ in parts], [h for _, h in parts], row["size"]):
+                rows.append((row["doc_id"], row["text_key"], row["template"], first, last, share))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+        columns = zip(*rows) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "template", "first", "last", "share"])
+
+
 def scan(docs: DataFrame, templates: list[Template], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id``, ``n_words`` and its verified ``spans`` in the order of their first word.
 
     A span has the ``template``'s number, the ``first`` word it covers and the ``last``, and the
-    ``share`` of the template's words that it holds.  A null text has no words and no spans, nor
+    ``share`` of the template's words that it holds; each copy of a template is a span.  A null text has no words and no spans, nor
     has one of fewer than three words.  Rows that repeat an id are scanned each by itself.
     Templates are part of the program: their k-grams are a table of fixed size.
     """
@@ -112,15 +158,18 @@ def scan(docs: DataFrame, templates: list[Template], id_col: str = "doc_id", tex
         .withColumn("span", F.sum("new").over(of))
         .groupBy(*key, "template", "size", "exact", "span")
         .agg(
-            F.flatten(F.collect_list("held")).alias("held"),
+            F.collect_list(F.struct("diagonal", "held")).alias("parts"),
             F.min(F.col("diagonal") + F.array_min("held")).alias("first"),
             F.max(F.col("diagonal") + F.array_max("held") + GRAM - 1).alias("last"),
         )
     )
-    covered = F.array_distinct(F.flatten(F.transform("held", lambda p: F.sequence(p, p + GRAM - 1))))
-    checked = merged.withColumn("share", F.size(covered) / F.col("size"))
-    fits = F.when(F.col("exact"), F.col("share") == 1).otherwise((F.col("share") >= SHARE) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size")))
-    spans = checked.filter(fits).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "template", "share"))).alias("spans"))
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten("parts.held"), lambda p: F.sequence(p, p + GRAM - 1))))
+    enough = F.when(F.col("exact"), F.col("share") == 1).otherwise(F.col("share") >= SHARE)
+    long = ~F.col("exact") & (F.col("last") - F.col("first") + 1 > STRETCH * F.col("size"))
+    checked = store(merged.withColumn("share", F.size(covered) / F.col("size")).filter(enough).withColumn("long", long))
+    whole = checked.filter("not long").select(*key, "template", "first", "last", "share")
+    cut = checked.filter("long").select(*key, "template", "size", "parts").mapInArrow(_cut, "doc_id long, text_key long, template int, first long, last long, share double")
+    spans = whole.unionByName(cut).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "template", "share"))).alias("spans"))
     joined = rows.join(spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")), "left")
     empty = F.array().cast("array<struct<first: bigint, last: bigint, template: int, share: double>>")
     return joined.select("doc_id", "n_words", F.coalesce("spans", empty).alias("spans"))

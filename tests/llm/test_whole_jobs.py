@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 pytest.importorskip("tokenizers")
 
-from lotwise.llm import packing, token_store, tokens  # noqa: E402
+from lotwise.llm import license_scan, packing, token_store, tokens  # noqa: E402
 
 SPECIAL = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "中 <|endoftext|> é"), (4, "<|endoftext> |endoftext|>"), (5, None), (6, "a b")]
 
@@ -38,3 +40,38 @@ def test_special_tokens_in_texts_have_their_ids(spark, tmp_path):
         expected.append((i, at, len(ids), crc(ids)))
         at += len(ids)
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in stored) == expected
+
+
+def test_repeated_license_texts_are_spans_of_their_own(spark):
+    mit, phrase = license_scan.TEXTS[0].text, "All rights reserved."
+    texts = [phrase, f"{phrase} {phrase}", f"{phrase} Yes {phrase}", f"{phrase} " * 50, f"{mit} {mit} {mit}", "rights reserved all", None]
+    texts.append(f"{mit} granted free of charge x free of charge to any a of charge to any person b free of charge to")
+    texts.append("of charge to any person x " * 6 + mit.replace("obtaining a copy", "that obtains a copy"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = [t.label for t in [*license_scan.PHRASES, *license_scan.TEXTS]]
+    got = {r.doc_id: r for r in license_scan.licensed(rows).collect()}
+    spans = {i: [(names[s.template], s.first, s.last) for s in r.spans] for i, r in got.items()}
+    label, n = "all-rights-reserved", len(license_scan._words(mit))
+    assert spans[0] == [(label, 0, 2)] and spans[1] == [(label, 0, 2), (label, 3, 5)] and spans[2] == [(label, 0, 2), (label, 4, 6)]
+    assert spans[3] == [(label, 3 * k, 3 * k + 2) for k in range(50)]
+    assert spans[4] == [("mit", n * k, n * k + n - 1) for k in range(3)]
+    assert [(got[i].labels, got[i].score) for i in range(7)] == [(label, 1.0)] * 4 + [("mit", 1.0)] + [("", 0.0)] * 2
+    assert (got[7].labels, got[7].score, len(spans[7])) == ("mit", 1.0, 1)
+    assert got[8].labels == "mit" and got[8].score >= 0.8 and len(spans[8]) == 1
+
+
+def test_copies_are_the_best_of_all_neighbouring_diagonals():
+    rng = random.Random(6)
+    for _ in range(300):
+        size, diagonals = 12, sorted(rng.sample(range(40), rng.randint(1, 9)))
+        held = [sorted(rng.sample(range(10), rng.randint(1, 10))) for _ in diagonals]
+        best = 0.0
+        for i in range(len(diagonals)):
+            for j in range(i, len(diagonals)):
+                spots = [diagonals[k] + p for k in range(i, j + 1) for p in held[k]]
+                share = len({p + g for k in range(i, j + 1) for p in held[k] for g in range(3)}) / size
+                if max(spots) + 2 - min(spots) + 1 <= 1.5 * size and share >= 0.8:
+                    best = max(best, share)
+        found = license_scan.copies(diagonals, held, size)
+        assert max((s for _, _, s in found), default=0.0) == best
+        assert all(a[1] < b[0] for a, b in combinations(sorted(found), 2))
