@@ -152,7 +152,8 @@ def groups(classes: DataFrame) -> DataFrame:
         many = size > 1
         total = np.add.reduceat(mix(node), first) if len(first) else np.zeros(0, U64)
         gid = mix(total[many] + size[many].astype(U64)).astype(np.int64)
-        _, once = np.unique(gid, return_index=True)
+        order = np.lexsort((variant[first[many]], gid))  # of one group's keys the first variant's
+        once = order[np.r_[True, gid[order][1:] != gid[order][:-1]]] if len(gid) else order
         first, size, gid = first[many][once], size[many][once], gid[once]
         return pa.table(
             {

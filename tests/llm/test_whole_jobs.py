@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tokenizers")
 
-from lotwise.llm import license_scan, packing, token_store, tokens  # noqa: E402
+from lotwise.llm import license_scan, near_dedup, packing, token_store, tokens  # noqa: E402
 
 SPECIAL = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "中 <|endoftext|> é"), (4, "<|endoftext> |endoftext|>"), (5, None), (6, "a b")]
 
@@ -75,3 +76,25 @@ def test_copies_are_the_best_of_all_neighbouring_diagonals():
         found = license_scan.copies(diagonals, held, size)
         assert max((s for _, _, s in found), default=0.0) == best
         assert all(a[1] < b[0] for a, b in combinations(sorted(found), 2))
+
+
+def test_a_groups_key_is_its_first_variant(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype("<u2")
+    rows = np.repeat(base[None], 6, 0)
+    for k in range(6):  # all share chunks 4 to 15, each is alone in the symbols before
+        rows[k, :16] = rng.integers(0, 1 << 16, 16)
+    classes = spark.createDataFrame([(k + 1, bytearray(r.tobytes())) for k, r in enumerate(rows)], "node long, signature binary")
+    least = min(v for v in range(len(near_dedup.VARIANTS)) if len(set(near_dedup.keys(rows, v).tolist())) == 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        found = near_dedup.groups(classes).collect()
+        assert sorted((r.key, r.size, r.node) for r in found) == [(least, 6, k + 1) for k in range(6)]
+        members = spark.createDataFrame([tuple(r) for r in found], "gid long, key int, size long, node long").join(classes, "node")
+        placed = members.withColumn("label", F.col("node")).withColumn("vblock", F.col("node"))
+        pairs = {frozenset((r.x, int(y))) for r in near_dedup._across(placed).collect() for y in np.frombuffer(r.ys, "<i8")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # All lie in components of their own, and the first is the group's largest: every pair is asked.
+    assert pairs == {frozenset(p) for p in combinations(range(1, 7), 2)}
