@@ -122,6 +122,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def placed(source: DataFrame, n: int) -> DataFrame:
+    """Rows with their bucket.
+
+    A document is known by its bucket and row, so rows of one id need not lie together, and
+    equal rows only those of one input partition.
+    """
+    return source.withColumn("bucket", F.pmod(F.xxhash64("doc", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Per row ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``carry`` also ``kept`` and the columns named.
 
@@ -134,7 +143,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     n = packed.buckets(docs)
     more = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry or ())]
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
-    dealt = packed.dealt(source.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")), n)
+    dealt = packed.dealt(placed(source, n), n)
 
     def find_runs(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()

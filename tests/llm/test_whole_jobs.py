@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tokenizers")
 
-from lotwise.llm import license_scan, near_dedup, packing, token_store, tokens  # noqa: E402
+from lotwise.llm import license_scan, near_dedup, packing, suffix_dedup, token_store, tokens  # noqa: E402
 
 SPECIAL = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "中 <|endoftext|> é"), (4, "<|endoftext> |endoftext|>"), (5, None), (6, "a b")]
 
@@ -98,3 +98,26 @@ def test_a_groups_key_is_its_first_variant(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     # All lie in components of their own, and the first is the group's largest: every pair is asked.
     assert pairs == {frozenset(p) for p in combinations(range(1, 7), 2)}
+
+
+def test_rows_of_one_id_are_not_one_bucket(spark, monkeypatch):
+    from lotwise.llm import packed
+
+    held, real = [], packed.dealt
+
+    def dealt(df, n, by="bucket"):
+        if "text" in df.columns:
+            held.append({r[by]: r["count"] for r in df.groupBy(by).count().collect()})
+        return real(df, n, by)
+
+    monkeypatch.setattr(packed, "dealt", dealt)
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(100)]
+    rows = [(None, t) for t in some] + [(5, f"{k} {passage}") for k in range(100)] + [(7, passage)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = suffix_dedup.repeats(docs)
+    got = found.collect()
+    assert max(held[0].values()) < 200 and len(held[0]) == packed.buckets(docs)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted((i or 0, len(t), 80 if i == 7 else 0) for i, t in rows)
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()  # buckets are dealt once
