@@ -28,8 +28,8 @@ BRANCHES, LEAVES = 16, 256
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 100
 #: Share of the true neighbours that the calibration rows must find.
 RECALL = 0.97
-#: Rows of a leaf that are compared with queries at once.
-SLICE = 4096
+#: Rows of a leaf, and queries that visit it, that meet in one group, about; queries of a group compared at once.
+SLICE, AT_ONCE = 4096, 256
 
 
 @dataclass
@@ -134,10 +134,11 @@ def _nearest(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k:
     """For every query its (at most) ``k`` nearest other rows: query row, row, exact distance."""
     if not len(x):
         return
-    rough = _squares(q, x)
     slack = 1e-9 * (1 + (q * q).sum(1).max(initial=0) + (x * x).sum(1).max(initial=0))
     for r in range(len(q)):
-        away = np.where(ids == qid[r], np.inf, rough[r])
+        if r % AT_ONCE == 0:
+            rough = _squares(q[r : r + AT_ONCE], x)
+        away = np.where(ids == qid[r], np.inf, rough[r % AT_ONCE])
         rows = np.arange(len(x))
         if len(x) > k + 1:
             edge = np.partition(away, k)[k]
@@ -191,6 +192,17 @@ def brute(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFra
     return _top(vectors.mapInArrow(work, _FOUND), k)
 
 
+def _meeting(visiting: DataFrame, inside: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Queries in blocks and rows in slices; every block that visits a leaf meets each slice of it."""
+    asked = visiting.select("query_id", "query", F.explode("leaves").alias("leaf"))
+    counts = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf of the tree
+    parts = lambda n: F.create_map(*[F.lit(v).cast("long") for leaf, c in (n or {-1: 1}).items() for v in (leaf, -(-c // SLICE))])[F.col("leaf")]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    questions = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), parts(counts))).withColumn("slice", each(parts(sizes)))
+    held = inside.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts(sizes))).withColumn("block", each(parts(counts)))
+    return questions, held
+
+
 def neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, leaves: int = LEAVES) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and the exact Euclidean ``score``.
 
@@ -234,18 +246,17 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     def asked(batches):
         for batch in batches:
             ids, x = longs(batch.column(0)), _matrix(batch.column(1))
-            at, part, who = [], [], []
+            leaves = []
             for row in range(len(ids)):
-                held = 0
+                held, own = 0, []
                 for n, leaf in enumerate(visits(shared.value, x[row])):
                     if n >= most and held > k:
                         break
                     held += sizes.get(leaf, 0)
-                    for s in range(-(-sizes.get(leaf, 0) // SLICE)):
-                        at.append(leaf)
-                        part.append(s)
-                        who.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(part, pa.int64()), batch.column(0).take(pa.array(who, pa.int64())), batch.column(1).take(pa.array(who, pa.int64()))], ["leaf", "slice", "query_id", "query"])
+                    if sizes.get(leaf, 0):
+                        own.append(leaf)
+                leaves.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "query", "leaves"])
 
     def compare(questions: pa.Table, held: pa.Table) -> pa.Table:
         if not len(questions) or not len(held):
@@ -254,8 +265,8 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
         qid, q = longs(questions["query_id"]), _matrix(questions["query"])
         return _rows(qid, ids, _nearest(ids, x, qid, q, k))
 
-    questions = vectors.filter(queries).dropDuplicates(["vec_id"]).mapInArrow(asked, "leaf long, slice long, query_id long, query binary")
-    n_slices = F.create_map(*[F.lit(v) for leaf, n in sizes.items() for v in (leaf, -(-n // SLICE))])
-    held = inside.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), n_slices[F.col("leaf")]))
-    found = questions.groupBy("leaf", "slice").cogroup(held.groupBy("leaf", "slice")).applyInArrow(compare, _FOUND)
+    visiting = store(vectors.filter(queries).dropDuplicates(["vec_id"]).mapInArrow(asked, "query_id long, query binary, leaves array<long>"))
+    questions, held = _meeting(visiting, inside, sizes)
+    key = ["leaf", "slice", "block"]
+    found = questions.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(compare, _FOUND)
     return _top(found, k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tokenizers")
 
-from lotwise.llm import license_scan, near_dedup, packing, suffix_dedup, token_store, tokens  # noqa: E402
+from lotwise.llm import ann, license_scan, near_dedup, packing, suffix_dedup, token_store, tokens  # noqa: E402
 
 SPECIAL = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "中 <|endoftext|> é"), (4, "<|endoftext> |endoftext|>"), (5, None), (6, "a b")]
 
@@ -121,3 +121,23 @@ def test_rows_of_one_id_are_not_one_bucket(spark, monkeypatch):
     assert max(held[0].values()) < 200 and len(held[0]) == packed.buckets(docs)
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted((i or 0, len(t), 80 if i == 7 else 0) for i, t in rows)
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()  # buckets are dealt once
+
+
+def test_queries_of_a_hot_leaf_are_cut_into_blocks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(0, 1, (400, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SLICE", 50)
+    sizes, real = [], ann._meeting
+
+    def meeting(*given):
+        both = real(*given)
+        sizes.extend([r["count"] for r in df.groupBy("leaf", "slice", "block").count().collect()] for df in both)
+        return both
+
+    monkeypatch.setattr(ann, "_meeting", meeting)
+    got = ann.neighbours(rows, F.col("vec_id") >= 0, 5, leaves=1).collect()
+    assert all(len(s) == 64 and max(s) <= 100 for s in sizes)
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(away, np.inf)
+    expected = {(q, n + 1, int(v)) for q in range(400) for n, v in enumerate(np.argsort(away[q], kind="stable")[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == expected
