@@ -177,7 +177,8 @@ def test_stream_breaker(spark, tmp_path):
 
 def test_registered_queries_have_oracles():
     import __spark_entry__ as entry
+    from lotwise.queries import ORACLES, QUERIES
 
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert len(queries) > 130 and set(oracles) <= set(queries)
-    assert sorted(set(queries) - set(oracles)) == ["listing_records", "shard_assign"]
+    assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles) and set(oracles) <= set(queries)
+    assert len(QUERIES) > 130 and sorted(set(QUERIES) - set(ORACLES)) == ["listing_records", "shard_assign"]
