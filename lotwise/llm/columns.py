@@ -22,6 +22,8 @@ _INV_BASE = U64(pow(int(_BASE), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = LOWER.astype(U64) + U64(1)
+#: Values of bytes for names that tell cases apart.
+EXACT = np.arange(1, 257).astype(U64)
 
 #: Word bytes of the two word rules, after A-Z became a-z.
 SPACED = np.ones(256, dtype=bool)
@@ -158,8 +160,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: np.ndarray) -> np.ndarray:
-    """64-bit name of every word, without regard to the case of A-Z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """64-bit name of every word, without regard to the case of A-Z, or by the values given for bytes."""
     if not len(starts):
         return np.zeros(0, U64)
     parts = []
@@ -167,7 +169,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: np
         up, down = _powers(j - i + 1)
         total = np.empty(j - i + 1, U64)
         total[0] = 0
-        np.cumsum(_VALUE[data[i:j]] * up[: j - i], dtype=U64, out=total[1:])
+        np.cumsum(values[data[i:j]] * up[: j - i], dtype=U64, out=total[1:])
         a, b = (np.searchsorted(starts, (i, j)) if len(data) > CHUNK else (0, len(starts)))
         s, e = starts[a:b] - i, ends[a:b] - i
         parts.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64) * _C1))
