@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,7 +19,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e{_LETTER}]")
 
-#: Words kept by a task; beyond that it starts anew.
+#: Words kept by a task; beyond that the half it has known longest goes.
 WORDS_KEPT = 300_000
 
 
@@ -56,7 +57,8 @@ class Encoder(dict):
         letters = word.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if len(self) >= WORDS_KEPT:
-            self.clear()
+            for old in list(islice(self, WORDS_KEPT // 2)):
+                del self[old]
         self[word] = ids
         return ids
 
