@@ -1,9 +1,11 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample and carried to the tasks; every row is put into
-its leaf.  A query walks the tree best bin first: a priority queue holds the branches
-not taken, nearest first, and yields leaves in the order in which they are worth a
-visit.  How many leaves are visited is calibrated: for a bounded sample of rows the true
+its leaf.  Leaves grow as the root of the number of rows, so that neither the leaves to
+choose from nor the rows of a leaf grow as the table does.  A query walks the tree best
+bin first: a priority queue holds the branches seen so far by the distance to their own
+centre, the nearest is opened next, and leaves come out in the order in which they are
+worth a visit.  How many leaves are visited is calibrated: for a bounded sample of rows the true
 neighbours are found by brute force over all rows, and visits widen until enough of them
 lie in visited leaves.  Rows of a leaf are handled in slices, so a vector that fills a
 third of the table is no single task.
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from lotwise.llm.columns import longs
 from lotwise.operators.durable import store
 
-BRANCHES, LEAVES = 16, 256
-#: Rows that the tree is fitted on, and rows that visits are calibrated with, about.
-FIT_ROWS, CALIBRATION_ROWS = 20_000, 100
+BRANCHES = 16
+#: Leaves for each root of the number of rows, at least and at most.
+LEAVES_A_ROOT, LEAST_LEAVES, MOST_LEAVES = 4, 64, 10_000
+#: Sample rows that a leaf is fitted on, about (200,000 rows in all at most), and rows that visits are calibrated with.
+FIT_ROWS, CALIBRATION_ROWS = 20, 100
 #: Share of the true neighbours that the calibration rows must find.
 RECALL = 0.97
 #: Rows of a leaf, and queries that visit it, that meet in one group, about; queries of a group compared at once.
@@ -58,7 +62,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(centers, axis=0)
 
 
-def grow(sample: np.ndarray, leaves: int = LEAVES, branches: int = BRANCHES) -> tuple[Node, int]:
+def grow(sample: np.ndarray, leaves: int, branches: int = BRANCHES) -> tuple[Node, int]:
     """The tree and its number of leaves; a part is split while it is larger than its share."""
     small, count = max(1, len(sample) // max(1, leaves)), 0
 
@@ -88,19 +92,22 @@ def leaf_of(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def leaves_for(total: int) -> int:
+    """About how many leaves a tree over so many rows has."""
+    return int(min(MOST_LEAVES, max(LEAST_LEAVES, LEAVES_A_ROOT * total**0.5)))
+
+
 def visits(tree: Node, x: np.ndarray) -> Iterator[int]:
     """The leaves in the order of the best-bin-first walk for one vector."""
     queue, tick = [(0.0, 0, tree)], 1
     while queue:
-        away, _, node = heapq.heappop(queue)
-        while node.centers is not None:
-            d = _squares(x[None], node.centers)[0]
-            near = int(d.argmin())
-            for c in np.flatnonzero(np.arange(len(d)) != near).tolist():
-                heapq.heappush(queue, (away + float(d[c] - d[near]), tick, node.children[c]))
-                tick += 1
-            node = node.children[near]
-        yield node.leaf
+        _, _, node = heapq.heappop(queue)
+        if node.centers is None:
+            yield node.leaf
+            continue
+        for d, child in zip(_squares(x[None], node.centers)[0].tolist(), node.children):
+            heapq.heappush(queue, (d, tick, child))
+            tick += 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -110,7 +117,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id`` and ``vec``, doubles as bytes, of the vectors that take part.
+    """``row`` (a number of its own), ``vec_id`` and ``vec``, doubles as bytes, of the vectors that take part.
 
     Not those that are null, zero, or hold null or non-finite components; nor those whose length
     isn't the commonest (the smaller, if two are as common); nor rows with a null id.
@@ -119,154 +126,178 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = named.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
     sizes = some.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    kept = some.filter(F.size("v") == (sizes[0]["size"] if sizes else 0))
+    kept = some.filter(F.size("v") == (sizes[0]["size"] if sizes else 0)).withColumn("row", F.monotonically_increasing_id())
 
     def work(batches):
         for batch in batches:
             flat = batch.column(1).flatten()
             x = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), "<f8").reshape(len(batch), -1) if len(batch) else np.zeros((0, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["row", "vec_id", "vec"])
 
-    return kept.mapInArrow(work, "vec_id long, vec binary")
+    return kept.mapInArrow(work, "row long, vec_id long, vec binary")
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int):
-    """For every query its (at most) ``k`` nearest other rows: query row, row, exact distance."""
+def _nearest(names: np.ndarray, ids: np.ndarray, x: np.ndarray, asking: np.ndarray, q: np.ndarray, k: int):
+    """For every query its (at most) ``k`` nearest rows but itself: query's place, rows, exact distances."""
     if not len(x):
         return
     slack = 1e-9 * (1 + (q * q).sum(1).max(initial=0) + (x * x).sum(1).max(initial=0))
     for r in range(len(q)):
         if r % AT_ONCE == 0:
             rough = _squares(q[r : r + AT_ONCE], x)
-        away = np.where(ids == qid[r], np.inf, rough[r % AT_ONCE])
+        away = np.where(names == asking[r], np.inf, rough[r % AT_ONCE])
         rows = np.arange(len(x))
         if len(x) > k + 1:
             edge = np.partition(away, k)[k]
             rows = np.flatnonzero(away <= edge + slack)
-        rows = rows[ids[rows] != qid[r]]
+        rows = rows[names[rows] != asking[r]]
         exact = np.sqrt(((x[rows] - q[r]) ** 2).sum(1))
-        best = np.lexsort((ids[rows], exact))[:k]
+        best = np.lexsort((names[rows], ids[rows], exact))[:k]
         yield r, rows[best], exact[best]
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """Each query's ``k`` nearest of what the slices found; a row has k at most, combined on the map side."""
-    best = found.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return best.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("rank", "n")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score")
+    best = found.groupBy("asking", "query_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    return best.select("asking", "query_id", F.posexplode(F.slice("near", 1, k)).alias("rank", "n")).select(
+        "asking", "query_id", (F.col("rank") + 1).alias("rank"), "n.vec_id", "n.score", "n.row"
     )
 
 
-_FOUND = "query_id long, near array<struct<score: double, vec_id: long>>"
+_FOUND = "asking long, query_id long, near array<struct<score: double, vec_id: long, row: long>>"
 
 
-def _rows(qid: np.ndarray, ids: np.ndarray, results) -> pa.Table:
-    names, near = [], []
+def _rows(asking: np.ndarray, qid: np.ndarray, names: np.ndarray, ids: np.ndarray, results) -> pa.Table:
+    who, of, near = [], [], []
     for r, rows, scores in results:
-        names.append(int(qid[r]))
-        near.append([{"score": s, "vec_id": v} for s, v in zip(scores.tolist(), ids[rows].tolist())])
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-    return pa.table({"query_id": pa.array(names, pa.int64()), "near": pa.array(near, kind)})
+        who.append(int(asking[r]))
+        of.append(int(qid[r]))
+        near.append([{"score": s, "vec_id": v, "row": n} for s, v, n in zip(scores.tolist(), ids[rows].tolist(), names[rows].tolist())])
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("row", pa.int64())]))
+    return pa.table({"asking": pa.array(who, pa.int64()), "query_id": pa.array(of, pa.int64()), "near": pa.array(near, kind)})
 
 
 def _sample(vectors: DataFrame, total: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """About ``rows`` rows, chosen by a hash of the id; all, if there are no more."""
+    """About ``rows`` rows, chosen by a hash of their number; all, if there are no more."""
     if total > rows:
-        vectors = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 32)) < int(rows / total * (1 << 32)))
+        vectors = vectors.filter(F.pmod(F.xxhash64("vec_id", "row", F.lit(seed)), F.lit(1 << 32)) < int(rows / total * (1 << 32)))
     table = vectors.toArrow()
-    return longs(table["vec_id"]), _matrix(table["vec"])
+    return longs(table["row"]), _matrix(table["vec"])
 
 
-def brute(vectors: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """Exact neighbours of a few given vectors among all rows."""
-    shared = vectors.sparkSession.sparkContext.broadcast((qid, q))
+def brute(vectors: DataFrame, asking: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """Exact neighbours of a few given vectors (by their rows' numbers) among all rows."""
+    shared = vectors.sparkSession.sparkContext.broadcast((asking, q))
 
     def work(batches):
-        names, own = shared.value
+        who, own = shared.value
         for batch in batches:
             for a in range(0, len(batch), SLICE):
-                part = batch.slice(a, SLICE)
-                ids, x = longs(part.column(0)), _matrix(part.column(1))
-                yield from _rows(names, ids, _nearest(ids, x, names, own, k)).to_batches()
+                part = pa.Table.from_batches([batch.slice(a, SLICE)])
+                names, ids, x = longs(part["row"]), longs(part["vec_id"]), _matrix(part["vec"])
+                yield from _rows(who, who, names, ids, _nearest(names, ids, x, who, own, k)).to_batches()
 
     return _top(vectors.mapInArrow(work, _FOUND), k)
 
 
 def _meeting(visiting: DataFrame, inside: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """Queries in blocks and rows in slices; every block that visits a leaf meets each slice of it."""
-    asked = visiting.select("query_id", "query", F.explode("leaves").alias("leaf"))
+    asked = visiting.select("asking", "query_id", "query", F.explode("leaves").alias("leaf"))
     counts = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf of the tree
     parts = lambda n: F.create_map(*[F.lit(v).cast("long") for leaf, c in (n or {-1: 1}).items() for v in (leaf, -(-c // SLICE))])[F.col("leaf")]
+    several = lambda n: {leaf: c for leaf, c in n.items() if c > SLICE}
+    slices, blocks = several(sizes), several(counts)
+    pieces = lambda n: F.coalesce(parts(n), F.lit(1).cast("long"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    questions = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), parts(counts))).withColumn("slice", each(parts(sizes)))
-    held = inside.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts(sizes))).withColumn("block", each(parts(counts)))
+    questions = asked.withColumn("block", F.pmod(F.xxhash64("asking"), pieces(blocks))).withColumn("slice", each(pieces(slices)))
+    held = inside.withColumn("slice", F.pmod(F.xxhash64("row"), pieces(slices))).withColumn("block", each(pieces(blocks)))
     return questions, held
 
 
-def neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, leaves: int = LEAVES) -> DataFrame:
-    """``query_id``, ``rank`` from 1, ``vec_id`` and the exact Euclidean ``score``.
+@dataclass
+class Index:
+    """Rows in the leaves of a fitted tree, and how many leaves a query visits."""
 
-    ``queries`` is a condition on ``vec_id``.  Candidates are all rows but those of the query's own
-    id; see :func:`usable` for vectors that take no part.  Equal distances go to the smaller id.
-    Rows that repeat an id are candidates of their own, and ask once each with the same result
-    kept once.  An empty table gives none.
-    """
-    vectors = store(usable(rows, id_col, vec_col))
+    tree: Node
+    rows: DataFrame
+    sizes: dict[int, int]
+    most: int
+
+    def compared(self) -> float:
+        """Share of all rows that a query is compared with, about."""
+        return min(1.0, self.most / max(1, len(self.sizes)))
+
+
+def index(vectors: DataFrame, k: int = 10, recall: float = RECALL, leaves: int | None = None) -> Index:
+    """A tree fitted on a sample of stored ``vectors`` (of :func:`usable`), all of them in its leaves, visits calibrated."""
     total = vectors.count()
-    if not total:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _, sample = _sample(vectors, total, FIT_ROWS, 11)
+    leaves = leaves or leaves_for(total)
+    _, sample = _sample(vectors, total, max(FIT_ROWS * LEAST_LEAVES, FIT_ROWS * leaves), 11)
     tree, n_leaves = grow(sample if len(sample) else np.zeros((1, 1)), leaves)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def placed(batches):
         for batch in batches:
-            leaf = leaf_of(shared.value, _matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], ["leaf", "vec_id", "vec"])
+            leaf = leaf_of(shared.value, _matrix(batch.column("vec")))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "row", "vec_id", "vec"])
 
-    inside = store(vectors.mapInArrow(placed, "leaf long, vec_id long, vec binary"))
+    inside = store(vectors.select("row", "vec_id", "vec").mapInArrow(placed, "leaf long, row long, vec_id long, vec binary"))
+    sizes = {r["leaf"]: r["n"] for r in inside.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf of the tree
 
     # Calibration: at which visit does the walk reach the leaf of a true neighbour?
     names, own = _sample(vectors, total, CALIBRATION_ROWS, 12)
     if not len(names):
-        names, own = names[:0], sample[:0]
-    truth = brute(vectors, names, own, k).select("query_id", "vec_id").distinct() if len(names) else None
-    reached = []
-    if truth is not None:
-        leaf = {r["vec_id"]: r["leaf"] for r in inside.join(truth.select("vec_id").distinct(), "vec_id").select("vec_id", "leaf").collect()}
-        order = {int(i): {x: n for n, x in enumerate(visits(tree, v))} for i, v in zip(names, own)}
-        reached = sorted(order[r["query_id"]][leaf[r["vec_id"]]] for r in truth.collect())
-    most = (reached[min(len(reached) - 1, int(recall * len(reached)))] + 1) if reached else n_leaves
-
-    # Queries go to the slices of the leaves that they visit.
-    counts = inside.groupBy("leaf").agg(F.count("*").alias("n"))
-    sizes = {r["leaf"]: r["n"] for r in counts.collect()}  # a row per leaf of the tree
+        return Index(tree, inside, sizes, n_leaves)
+    truth = store(brute(vectors, names, own, k).select("asking", "row"))
+    leaf = {r["row"]: r["leaf"] for r in inside.join(truth.select("row").distinct(), "row").select("row", "leaf").collect()}
+    order = {int(i): {x: n for n, x in enumerate(x for x in visits(tree, v) if x in sizes)} for i, v in zip(names, own)}
+    reached = sorted(order[r["asking"]][leaf[r["row"]]] for r in truth.collect())
+    most = reached[min(len(reached) - 1, int(recall * len(reached)))] + 1 if reached else n_leaves
+    return Index(tree, inside, sizes, most)
+
+
+def neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, leaves: int | None = None) -> DataFrame:
+    """``query_id``, ``rank`` from 1, ``vec_id`` and the exact Euclidean ``score``.
+
+    ``queries`` is a condition on ``vec_id``.  Candidates are all rows but the query's own; see
+    :func:`usable` for vectors that take no part.  Equal distances go to the smaller id.  Rows
+    that repeat an id are candidates and queries of their own.  An empty table gives none.
+    """
+    vectors = store(usable(rows, id_col, vec_col))
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(index(vectors, k, recall, leaves), queries, k)
+
+
+def search(found: Index, queries: Column, k: int = 10) -> DataFrame:
+    """The ``k`` nearest rows of those that meet the condition; they go to the slices of the leaves that they visit."""
+    shared, sizes, most = found.rows.sparkSession.sparkContext.broadcast(found.tree), found.sizes, found.most
 
     def asked(batches):
         for batch in batches:
-            ids, x = longs(batch.column(0)), _matrix(batch.column(1))
+            x = _matrix(batch.column("vec"))
             leaves = []
-            for row in range(len(ids)):
+            for row in range(len(x)):
                 held, own = 0, []
-                for n, leaf in enumerate(visits(shared.value, x[row])):
-                    if n >= most and held > k:
+                for leaf in visits(shared.value, x[row]):
+                    if len(own) >= most and held > k:
                         break
-                    held += sizes.get(leaf, 0)
-                    if sizes.get(leaf, 0):
+                    if leaf in sizes:  # a leaf without rows is no visit
+                        held += sizes[leaf]
                         own.append(leaf)
                 leaves.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "query", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["asking", "query_id", "query", "leaves"])
 
     def compare(questions: pa.Table, held: pa.Table) -> pa.Table:
         if not len(questions) or not len(held):
-            return _rows(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-        ids, x = longs(held["vec_id"]), _matrix(held["vec"])
-        qid, q = longs(questions["query_id"]), _matrix(questions["query"])
-        return _rows(qid, ids, _nearest(ids, x, qid, q, k))
-
-    visiting = store(vectors.filter(queries).dropDuplicates(["vec_id"]).mapInArrow(asked, "query_id long, query binary, leaves array<long>"))
-    questions, held = _meeting(visiting, inside, sizes)
+            return _rows(*[np.zeros(0, np.int64)] * 4, [])
+        names, ids, x = longs(held["row"]), longs(held["vec_id"]), _matrix(held["vec"])
+        asking, qid, q = longs(questions["asking"]), longs(questions["query_id"]), _matrix(questions["query"])
+        return _rows(asking, qid, names, ids, _nearest(names, ids, x, asking, q, k))
+
+    own = found.rows.filter(queries).select("row", "vec_id", "vec")
+    visiting = store(own.mapInArrow(asked, "asking long, query_id long, query binary, leaves array<long>"))
+    questions, held = _meeting(visiting, found.rows, sizes)
     key = ["leaf", "slice", "block"]
-    found = questions.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(compare, _FOUND)
-    return _top(found, k)
+    near = questions.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(compare, _FOUND)
+    return _top(near, k).select("query_id", "rank", "vec_id", "score")
