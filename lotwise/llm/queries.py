@@ -95,20 +95,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op7_warc_index",
-    """
+    r"""
     WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS h FROM pages),
-    f AS (SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    f AS (SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+    part AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://(?:www\.)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages),
+    u AS (SELECT page_id, concat(array_to_string(list_reverse(string_split(host, '.')), ','), ')', lower(CASE WHEN path = '' THEN '/' ELSE path END),
+                 CASE WHEN query <> '' THEN concat('?', lower(array_to_string(list_sort(string_split(query, '&')), '&'))) ELSE '' END) AS url_key,
+                 strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM part)
     SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
            list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || h[1 + 5 * (i // 4) : 5 + 5 * (i // 4)] AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31)]), 'string_agg', '') AS payload_digest,
            CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN first <> page_id THEN first END AS refers_to
-    FROM f
+           CASE WHEN first <> page_id THEN first END AS refers_to, url_key, stamp,
+           row_number() OVER (ORDER BY url_key, stamp, page_id) - 1 AS rank, row_number() OVER (PARTITION BY url_key ORDER BY stamp, page_id) - 1 AS nth
+    FROM f JOIN u USING (page_id)
     """,
 )
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of all pages, from the archives written of them."""
     index = warc.archived(table(spark, sf_dir, "pages"), folder(spark, "warc"), 0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "rank", "nth")
 
 
 @query("op8_token_ids")
