@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.columns import ALNUM, grams, runs, utf8, word_hashes, word_spans
+from lotwise.llm.license_texts import LICENSES
 from lotwise.operators.durable import store
 
 GRAM = 3
@@ -42,15 +43,13 @@ PHRASES = [
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 ]
+# Openings are looked for beside the whole texts, as files often hold no more.
 TEXTS = [
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     Template("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    Template("cc-by", "This work is licensed under a Creative Commons Attribution International License"),
-    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial International License"),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     Template("all-rights-reserved", "all rights reserved"),
+    *[Template(label, text) for label, text in LICENSES.items()],
 ]
 
 
@@ -129,11 +128,30 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "template", "first", "last", "share"])
 
 
+def standing(spans: Sequence[tuple[int, int, int, float]], sizes: Sequence[int], exact: Sequence[bool]) -> list[tuple[int, int, int, float]]:
+    """Spans (first, last, template, share) without those that lie by half in one of another template with more words found.
+
+    Texts that differ in a few words hold most of one another.  Exact phrases always stand.  A span
+    is at most ``STRETCH`` times its template long, so only near ones are looked at.
+    """
+    spans = sorted(spans)
+    firsts, reach = [s[0] for s in spans], int(STRETCH * max(sizes)) + 1
+    found = [share * sizes[t] for _, _, t, share in spans]
+    out = []
+    for i, (first, last, t, share) in enumerate(spans):
+        near = range(bisect_left(firsts, first - reach), bisect_left(firsts, last + 1)) if not exact[t] else ()
+        if not any(
+            found[j] > found[i] and spans[j][2] != t and not exact[spans[j][2]] and 2 * (min(last, spans[j][1]) - max(first, spans[j][0]) + 1) >= last - first + 1 for j in near
+        ):
+            out.append((first, last, t, share))
+    return out
+
+
 def scan(docs: DataFrame, templates: list[Template], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id``, ``n_words`` and its verified ``spans`` in the order of their first word.
 
     A span has the ``template``'s number, the ``first`` word it covers and the ``last``, and the
-    ``share`` of the template's words that it holds; each copy of a template is a span.  A null text has no words and no spans, nor
+    ``share`` of the template's words that it holds; each copy of a template is a span, but see :func:`standing`.  A null text has no words and no spans, nor
     has one of fewer than three words.  Rows that repeat an id are scanned each by itself.
     Templates are part of the program: their k-grams are a table of fixed size.
     """
@@ -169,7 +187,19 @@ def scan(docs: DataFrame, templates: list[Template], id_col: str = "doc_id", tex
     checked = store(merged.withColumn("share", F.size(covered) / F.col("size")).filter(enough).withColumn("long", long))
     whole = checked.filter("not long").select(*key, "template", "first", "last", "share")
     cut = checked.filter("long").select(*key, "template", "size", "parts").mapInArrow(_cut, "doc_id long, text_key long, template int, first long, last long, share double")
-    spans = whole.unionByName(cut).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "template", "share"))).alias("spans"))
+    sizes, exact = [len(w) for w in words], [t.exact for t in templates]
+
+    def stand(batches):
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("template", pa.int32()), ("share", pa.float64())]))
+        for batch in batches:
+            out = []
+            for row in batch.column("spans").to_pylist():
+                left = standing([(s["first"], s["last"], s["template"], s["share"]) for s in row], sizes, exact)
+                out.append([dict(zip(("first", "last", "template", "share"), s)) for s in left])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, kind)], [*key, "spans"])
+
+    together = whole.unionByName(cut).groupBy(*key).agg(F.collect_list(F.struct("first", "last", "template", "share")).alias("spans"))
+    spans = together.mapInArrow(stand, "doc_id long, text_key long, spans array<struct<first: long, last: long, template: int, share: double>>")
     joined = rows.join(spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")), "left")
     empty = F.array().cast("array<struct<first: bigint, last: bigint, template: int, share: double>>")
     return joined.select("doc_id", "n_words", F.coalesce("spans", empty).alias("spans"))
