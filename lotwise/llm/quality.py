@@ -189,9 +189,9 @@ def certified(labelled: DataFrame) -> DataFrame:
     test = labelled.filter("NOT fits AND good = 1").alias("t")
     asked = test.join(cutoffs.alias("c"), F.col("t.stratum").eqNullSafe(F.col("c.stratum"))).select("t.*", "c.step", "c.cutoffs")
     counted = asked.groupBy("stratum", "step").agg(F.count("*").alias("tested"), F.count_if(_rejected("cutoffs")).alias("lost"), F.first("cutoffs").alias("cutoffs"))
-    strata = labelled.agg((F.count_distinct("stratum") + F.max(F.col("stratum").isNull().cast("int"))).alias("strata"))
+    strata = labelled.agg(F.greatest(F.count_distinct("stratum") + F.coalesce(F.max(F.col("stratum").isNull().cast("int")), F.lit(0)), F.lit(1)).alias("strata")).scalar()
     p_value = F.pandas_udf(_tails, "double")
-    judged = counted.join(strata).withColumn("passed", p_value("lost", "tested") <= F.lit(DELTA) / F.col("strata"))
+    judged = counted.withColumn("passed", p_value("lost", "tested") <= F.lit(DELTA) / strata)
     sequence = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = judged.withColumn("held", F.min("passed").over(sequence)).filter("held")
     return kept.groupBy("stratum").agg(F.max_by(F.struct("step", "cutoffs", "tested", "lost"), "step").alias("c")).select("stratum", "c.*")

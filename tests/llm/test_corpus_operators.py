@@ -225,20 +225,38 @@ def test_fullest_bin_is_the_best_subset():
         assert all(k <= counts[x] for x, k in used.items())
 
 
-@pytest.mark.parametrize("shard", [7, 1 << 20])
+@pytest.mark.parametrize("shard", [7, 300, 1 << 20])
 def test_token_files_read_back(docs, none, tmp_path, shard):
     path = str(tmp_path / f"t{shard}")
     token_store.write_shards(docs, path, tokens.public(), 2, shard_ids=shard)
-    got = token_store.read_documents(docs.sparkSession.read.parquet(path)).collect()
-    rows, at, expected = sorted(((low(i), t or "", t) for i, t, *_ in awkward()), key=lambda r: (r[0], r[2] is not None, r[1].encode())), 0, []
-    for i, _, t in rows:
-        ids = [*ids_of(t), 2]
-        expected.append((i, at, len(ids), crc(ids)))
-        at += len(ids)
-    assert sorted((low(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(expected)
+    shards = docs.sparkSession.read.parquet(path)
+    got = sorted((r.start, low(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_store.read_documents(shards).collect())
+    expected = [(low(i), len(ids_of(t)) + 1, crc([*ids_of(t), 2])) for i, t, *_ in awkward()]
+    assert sorted(g[1:] for g in got) == sorted(expected)
+    # Ids ascend along the stream, and every document begins where the one before it ends.
+    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    assert [g[0] for g in got] == [sum(g[2] for g in got[:k]) for k in range(len(got))]
+    for wanted in (3, 7, 9, 14, 39, 17, -5):
+        found = sorted(r.ids for r in token_store.find(shards, wanted).collect())
+        assert found == sorted([*ids_of(t), 2] for i, t, *_ in awkward() if i == wanted)
     assert token_store.tokenized(none, path + "e", tokens.public(), 2).collect() == []
 
 
+def test_ids_from_end_to_end(spark, tmp_path):
+    ids = [-(2**63), -5, 0, 2**62, 2**63 - 1, None]
+    rows = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    got = token_store.tokenized(rows, str(tmp_path / "far"), tokens.public(), 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(2**63), -5, 0, 2**62, 2**63 - 1]
+
+
+def test_words_known_longest_go_first(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 8)
+    encoder = tokens.Encoder(tokens.public())
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    assert [encoder.ids(w) for w in words * 2] == [np.array(ids_of(w), "<u4").tobytes() for w in words * 2]
+    assert len(encoder) <= 8
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5, 5, 5], np.cumsum(rng.integers(0, 3000, 2000)), np.cumsum(rng.integers(0, 2, 1500))):
@@ -288,25 +306,86 @@ def test_language_of_held_out_texts(spark):
     assert langid.identify(docs.limit(0), model).collect() == []
 
 
-def test_warc_round_trip(spark, tmp_path):
+def brute_captures(rows):
+    payload = [(h or "").encode() for _, _, h in rows]
+    first: dict[bytes, tuple] = {}
+    for (i, _, _), b in zip(rows, payload):
+        first[b] = min(first.get(b, (True, 0)), (i is None, i or 0))
+    out = []
+    for (i, url, _), b in zip(rows, payload):
+        again = first[b] != (i is None, i or 0)
+        url = url and re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)  # as it stands in the record
+        out.append((warc.url_key(url), warc.stamp(i), low(i), len(b), warc.digest(b), "revisit" if again else "response", first[b][1] if again else None))
+    return sorted(out, key=lambda r: (*r[:5], str(r[5:])))
+
+
+@pytest.mark.parametrize("archive, block, buckets", [(64 << 20, 2000, 4), (300, 1, 13), (900, 2, 3)])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, archive, block, buckets):
     rows = [(5, "http://www.B.example/x?b=2&a=1", "<p>é</p>"), (3, "http://b.example/x?a=1&b=2", "<p>é</p>"), (4, None, None), (6, "http://a.example/\r\n", ""), (7, "http://a.example", "x\r\n\r\nWARC/1.0\r\n\r\n"), (8, "::bad[", "y" * 70000), (9, "http://b.example/x", "<p>é</p>")]
+    rows += [(None, "http://n.example", "null"), (None, "http://n.example", "<p>é</p>"), (12, "http://t.example", "same"), (12, "http://t.example", "same"), (12, "http://t.example", "other")]
+    rows += [(20 + k, "http://hot.example/", f"page {k % 4}") for k in range(30)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string").repartition(3)
-    index = warc.archived(pages, str(tmp_path / "w")).collect()
-    payload = {i: (h or "").encode() for i, _, h in rows}
-    first: dict[bytes, int] = {}
-    for i in sorted(payload):
-        first.setdefault(payload[i], i)
+    for name, value in (("ARCHIVE_BYTES", archive), ("BLOCK_ROWS", block), ("RANGE_ROWS", 5)):
+        monkeypatch.setattr(warc, name, value)
+    monkeypatch.setattr(warc.write_archives, "__defaults__", (archive,))
+    monkeypatch.setattr(warc.packed, "buckets", lambda df: buckets)
+    folder = tmp_path / "w"
+    index = sorted(warc.archived(pages, str(folder)).collect(), key=lambda r: r["rank"])
+    keys = [(r.url_key, r.stamp, low(r.page_id)) for r in index]
+    assert keys == sorted(keys) and [r["rank"] for r in index] == list(range(len(rows)))
+    got = [(r.url_key, r.stamp, low(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in index]
+    assert sorted(got, key=lambda r: (*r[:5], str(r[5:]))) == brute_captures(rows)
+    seen: dict[str, int] = defaultdict(int)
     for r in index:
-        b = payload[r.page_id]
-        assert (r.payload_bytes, r.payload_digest) == (len(b), warc.digest(b))
-        again = first[b] != r.page_id
-        assert (r.record_type, r.refers_to) == (("revisit", first[b]) if again else ("response", None))
-    keys = [(r.url_key, r.stamp, r.page_id) for r in index]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+        assert r.nth == seen[r.url_key]
+        seen[r.url_key] += 1
     assert {r.url_key for r in index if r.page_id in (3, 5)} == {"example,b)/x?a=1&b=2"}
+    # Every record can be read alone, and the archive is plain gzip as a whole.
+    import gzip
+
+    for r in index:
+        (path,) = (folder / f"archive={r.archive}").glob("part-*")
+        data = path.read_bytes()
+        record = gzip.decompress(data[r.place : r.place + r.length])
+        ((_, _, fields, block_),) = warc.parse(data[r.place : r.place + r.length])
+        assert record.startswith(b"WARC/1.0") and fields["WARC-Payload-Digest"] == f"sha1:{r.payload_digest}"
+        assert record in gzip.decompress(data)
+        assert r.record_type == "revisit" or warc.digest(block_.partition(b"\r\n\r\n")[2]) == r.payload_digest
+    if archive == 300:
+        assert len({r.archive for r in index}) > 10
     assert warc.archived(pages.limit(0), str(tmp_path / "e")).collect() == []
 
 
+def test_long_records_have_several_members(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 50)
+    block = "HTTP/1.1 200 OK\r\n\r\n" + "z" * 400
+    record = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    data = warc.members(record) + warc.members(record)
+    assert len(list(warc.unzipped(data))) > 10 and warc.members(record)[-1] == 0
+    half = len(data) // 2
+    assert [(at, n, b.decode()) for at, n, _, b in warc.parse(data)] == [(0, half, block), (half, half, block)]
+    for broken in (data[:-9], data[:-60]):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_blocks_are_merged_in_order():
+    import pickle
+
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = [(rng.choice("abcd"), str(rng.randint(0, 9)), rng.choice([None, 1, 2]), None, 0, "", "", None, f"r{rng.randint(0, 4)}", k, 1) for k in range(rng.randint(0, 60))]
+        blocks = []
+        for name in {r[8] for r in rows}:
+            own, at = sorted((r for r in rows if r[8] == name), key=warc.order), 0
+            while at < len(own):
+                n = rng.randint(1, 7)
+                blocks.append((name, warc.order(own[at]), pickle.dumps(own[at : at + n])))
+                at += n
+        got = list(warc.merge_blocks(sorted(blocks, key=lambda b: b[1])))
+        assert got == sorted(rows, key=warc.order)
+
+
 def test_loser_tree_merges_sorted_runs():
     rng = random.Random(4)
     for k in (0, 1, 2, 5, 8, 13):

@@ -61,6 +61,31 @@ def test_repeated_license_texts_are_spans_of_their_own(spark):
     assert got[8].labels == "mit" and got[8].score >= 0.8 and len(spans[8]) == 1
 
 
+def test_whole_license_texts_are_told_apart(spark):
+    from lotwise.llm.license_texts import LICENSES, AGPL_HEADER, BSD_2, BSD_3_CLAUSE, GPL_HEADER, ISC, LGPL_HEADER, MIT
+
+    rng = random.Random(9)
+
+    def worn(text, every):  # a word of so many is another one
+        return " ".join(w if rng.random() > 1 / every else "word" for w in text.split())
+
+    mit, gpl = MIT.split(), GPL_HEADER.split()
+    woven = " ".join(" ".join(mit[k : k + 40]) + " " + " ".join(gpl[k // 2 : k // 2 + 20]) for k in range(0, len(mit), 40))
+    half = " ".join(BSD_2.split()[: len(BSD_2.split()) // 2])
+    texts = [*LICENSES.values(), worn(MIT, 40), f"{ISC} some words {MIT}", BSD_2 + BSD_3_CLAUSE, woven, half]
+    got = [r for r in sorted(license_scan.licensed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    labels = [set(r.labels.split(",")) for r in got]
+    for k, label in enumerate(LICENSES):
+        assert label in labels[k] and got[k].score == 1.0, label
+    for k, label in enumerate(LICENSES):  # texts that differ in a few words are told apart too
+        assert labels[k] == {label}, (label, labels[k])
+    n = len(LICENSES)
+    assert "mit" in labels[n] and got[n].score < 1.0
+    assert labels[n + 1] == {"isc", "mit"} and labels[n + 2] == {"bsd-2", "bsd-3"}
+    assert "mit" in labels[n + 3]
+    assert labels[n + 4] == {"bsd"}  # half a text is its opening, and no more
+
+
 def test_copies_are_the_best_of_all_neighbouring_diagonals():
     rng = random.Random(6)
     for _ in range(300):
