@@ -218,14 +218,14 @@ def upsert_vehicles(vehicles: DataFrame, done: DataFrame) -> DataFrame:
     return keep_last(both, ["vehicle_url"], "__seq").drop("__seq")
 
 
-def append_errors(errors: DataFrame, events: DataFrame, run_id: str, now: str) -> DataFrame:
+def error_rows(events: DataFrame, run_id: str, now: str) -> DataFrame:
     """Failed and error events as error rows, defaults filled."""
     have = set(events.columns)
 
     def own(name: str) -> Column:
         return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
 
-    rows = events.select(
+    return events.select(
         F.lit(run_id).alias("run_id"),
         T.first_filled(own("ts"), F.lit(now)).alias("timestamp"),
         T.first_filled(own("stage"), own("type")).alias("stage"),
@@ -240,7 +240,11 @@ def append_errors(errors: DataFrame, events: DataFrame, run_id: str, now: str) -
         T.text(own("html_dump_path")).alias("html_dump_path"),
         F.col("seq").cast("bigint").alias("seq"),
     )
-    return errors.unionByName(rows)
+
+
+def append_errors(errors: DataFrame, events: DataFrame, run_id: str, now: str) -> DataFrame:
+    """The error table with the rows of failed and error events."""
+    return errors.unionByName(error_rows(events, run_id, now))
 
 
 # -- reads ----------------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import ordered
 from lotwise.queries.base import query, run, table
+from lotwise.queries.q_state import _scratch
+from lotwise.streaming import events as stream
 
 # Pages of a crawl: ten events of a type are one page, users are the dealers found.
 _CRAWL = """
@@ -70,8 +72,7 @@ r AS (SELECT *, CASE WHEN blocked THEN count(*) FILTER (WHERE blocked) OVER (PAR
 """
 
 
-@query(
-    "breaker",
+_BREAKER_OPENS = (
     _BREAKER
     + """,
 t AS (SELECT *, CASE WHEN blocked AND streak >= 9 THEN 'streak' WHEN blocked AND total >= 2000 THEN 'total' WHEN blocked AND total / attempts > 0.8 THEN 'rate' END AS why FROM r),
@@ -79,8 +80,11 @@ e AS (SELECT method, min(event_id) FILTER (WHERE why IS NOT NULL) AS open_at FRO
 SELECT event_id, t.method, attempts, total AS blocked_total, streak AS blocked_streak,
   CASE WHEN event_id > open_at THEN 'skipped' WHEN event_id = open_at THEN 'tripped' ELSE 'closed' END AS breaker, CASE WHEN event_id = open_at THEN why END AS trip_reason
 FROM t JOIN e USING (method)
-""",
+"""
 )
+
+
+@query("breaker", _BREAKER_OPENS)
 def _(spark, sf_dir):
     done = ordered.block_breaker(
         run(spark, sf_dir, _ATTEMPTS), "method", "event_id", "blocked", streak_limit=9, total_limit=2000, rate_limit=0.8, width=700
@@ -88,8 +92,7 @@ def _(spark, sf_dir):
     return done.drop("blocked")
 
 
-@query(
-    "breaker_cooldown",
+_BREAKER_COOLS = (
     _BREAKER
     + """,
 c AS (SELECT *, CASE WHEN blocked THEN (streak - 1) % 3 + 1 ELSE 0 END AS pos FROM r),
@@ -97,8 +100,11 @@ t AS (SELECT *, blocked AND pos >= 3 AS cool, blocked AND pos < 3 AND total >= 1
 e AS (SELECT method, min(event_id) FILTER (WHERE opens) AS open_at FROM t GROUP BY 1)
 SELECT event_id, t.method, pos AS blocked_streak, CASE WHEN event_id > open_at THEN 'skipped' WHEN event_id = open_at THEN 'tripped' WHEN cool THEN 'cooldown' ELSE 'closed' END AS breaker
 FROM t JOIN e USING (method)
-""",
+"""
 )
+
+
+@query("breaker_cooldown", _BREAKER_COOLS)
 def _(spark, sf_dir):
     done = ordered.block_breaker(
         run(spark, sf_dir, _ATTEMPTS), "method", "event_id", "blocked", streak_limit=3, cooldown=True, total_limit=1500, width=700
@@ -106,6 +112,60 @@ def _(spark, sf_dir):
     return done.select("event_id", "method", "blocked_streak", "breaker")
 
 
+def _arrivals(spark, sf_dir, folder, parts):
+    """The given events arrive in the folder part by part, in order; yields the stream to be started after each."""
+    events = table(spark, sf_dir, "events")
+    top = events.agg(F.max("event_id") + 1).first()[0]
+    for part in range(parts):
+        events.filter(F.floor(F.col("event_id") * parts / top) == part).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(events.schema).parquet(folder)
+
+
+def _live_breaker(spark, sf_dir, **limits):
+    """The breaker's rows from a stream of several micro-batches; attempts are not read again."""
+    folder = _scratch(spark, "breaker")
+    for arrived in _arrivals(spark, sf_dir, f"{folder}/in", 3):
+        arrived.createOrReplaceTempView("live_attempts")
+        attempts = spark.sql(_ATTEMPTS.replace("FROM events", "FROM live_attempts"))
+        stream.write_breaker(attempts, f"{folder}/rows", f"{folder}/progress", "method", "event_id", "blocked", **limits).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").filter("seq IS NOT NULL").withColumnRenamed("seq", "event_id")
+
+
+@query("stream_breaker", _BREAKER_OPENS)
+def _(spark, sf_dir):
+    return _live_breaker(spark, sf_dir, streak_limit=9, total_limit=2000, rate_limit=0.8).drop("blocked")
+
+
+@query("stream_breaker_cooldown", _BREAKER_COOLS)
+def _(spark, sf_dir):
+    done = _live_breaker(spark, sf_dir, streak_limit=3, cooldown=True, total_limit=1500)
+    return done.select("event_id", "method", "blocked_streak", "breaker")
+
+
+@query(
+    "stream_progress",
+    """
+WITH p AS (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS part, ts FROM events WHERE event_type = 'purchase'),
+d AS (SELECT part, sum(count(*)) OVER (ORDER BY part) AS done, epoch_us(max(ts)) / 1e6 - 1704067200.0 AS elapsed FROM p GROUP BY part)
+SELECT CAST(done AS BIGINT) AS done, round(done / elapsed * 3600, 6) AS per_hour, round(elapsed / done, 6) AS avg_seconds, round(greatest(0, 5000 - done) / (done / elapsed * 3600 / 3600), 4) AS eta_seconds FROM d
+""",
+)
+def _(spark, sf_dir):
+    folder = _scratch(spark, "progress")
+    marks = stream.Progress(1704067200.0, expected=5000)
+    spark.streams.addListener(marks)
+    try:
+        for part, rows in enumerate(_arrivals(spark, sf_dir, f"{folder}/in", 4)):
+            seen = stream.observed(rows, F.col("event_type") == "purchase", F.col("ts").cast("timestamp"))
+            seen.writeStream.format("noop").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+            marks.wait(part + 1)
+    finally:
+        spark.streams.removeListener(marks)
+    found = [(m["done"], m["per_hour"], m["avg_seconds"], m["eta_seconds"]) for m in marks.marks]
+    rows = spark.createDataFrame(found, "done long, per_hour double, avg_seconds double, eta_seconds double")
+    return rows.select("done", F.round("per_hour", 6).alias("per_hour"), F.round("avg_seconds", 6).alias("avg_seconds"), F.round("eta_seconds", 4).alias("eta_seconds"))
+
+
 @query(
     "fail_disable",
     """

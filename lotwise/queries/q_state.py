@@ -250,30 +250,70 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def event_files(spark, sf_dir, files: int = 6):
+    """The given events as a folder of several files, read as a stream of two files a micro-batch."""
+    folder = _scratch(spark, "events")
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+# Events of vendors (clicks), vehicles and neither; a quarter belongs to another run.
+_LIVE = f"""
+SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN (CASE WHEN event_id % 3 = 0 THEN 'vendor_failed' ELSE 'vendor_done' END)
+         WHEN {_KIND} = 'other' THEN 'error' ELSE concat('vehicle_', {_KIND}) END AS kind,
+       CASE WHEN event_type = 'click' THEN concat('v', {s('user_id % 90')}) ELSE concat('u', {s('user_id')}) END AS url, {_RUN} AS run_id,
+       concat('H', {s('event_id % 7')}) AS haendler_id, {s('event_id')} AS payload, concat('e', {s('event_id')}) AS error,
+       CASE WHEN event_id % 2 = 0 THEN 'page' END AS stage, 500 AS status_code, '' AS error_type, {s('event_id')} AS ts
+FROM {{events}}
+"""
+_LIVE_JOBS = f"SELECT * FROM ({_USER_JOBS}) WHERE CAST(substr(vehicle_url, 2) AS BIGINT) % 4 <> 3"
+_LIVE_VENDORS = f"""
+SELECT DISTINCT concat('v', {s('user_id % 60')}) AS normalized_vendor_url, CASE WHEN user_id % 2 = 0 THEN 'r2' ELSE 'r1' END AS run_id, 'C1' AS haendler_id,
+       '' AS dealer_json, 'old' AS vendor_json, 'queued' AS status, CAST(NULL AS STRING) AS last_error, 't0' AS updated_at FROM events
+"""
+_LIVE_VEHICLES = f"""
+SELECT DISTINCT concat('u', {s('user_id')}) AS vehicle_url, 'r0' AS run_id, 'H' AS haendler_id, 'old' AS data_json, 'done' AS status, 't0' AS updated_at
+FROM events WHERE user_id % 5 = 0
+"""
+_FOLD_SQL = """SELECT {key} AS key, arg_max(kind, seq) AS kind, count(*) FILTER (WHERE kind LIKE '%processing') AS starts, arg_max(ts, seq) AS ts,
+  arg_max(error, seq) FILTER (WHERE kind LIKE '%failed') AS error, arg_max(payload, seq) FILTER (WHERE kind LIKE '%done') AS payload
+FROM ev JOIN {table} t ON ev.url = t.{key} AND (ev.run_id = '' OR ev.run_id = t.run_id) WHERE kind <> 'error' GROUP BY 1"""
+
+
 @query(
     "stream_state",
-    """
-SELECT concat('u', user_id) AS vehicle_url, CAST(arg_max(event_id, event_id) AS VARCHAR) AS data_json FROM events WHERE event_type = 'purchase' GROUP BY 1
+    f"""
+WITH ev AS ({_LIVE.format(events='events')}), jobs AS ({_LIVE_JOBS}), vendors AS ({_LIVE_VENDORS}), vehicles AS ({_LIVE_VEHICLES}),
+j AS ({_FOLD_SQL.format(key='vehicle_url', table='jobs')}), v AS ({_FOLD_SQL.format(key='normalized_vendor_url', table='vendors')}),
+d AS (SELECT url, arg_max(payload, seq) AS payload, arg_max(run_id, seq) AS run_id, arg_max(haendler_id, seq) AS hid, max(seq) AS seq FROM ev WHERE kind = 'vehicle_done' GROUP BY url)
+SELECT 'vehicle_jobs' AS tbl, vehicle_url AS key, coalesce(split_part(kind, '_', 2), status) AS status, attempts + coalesce(starts, 0) AS attempts, error AS detail, coalesce(ts, updated_at) AS updated_at
+FROM jobs LEFT JOIN j ON vehicle_url = key
+UNION ALL SELECT 'vendors', normalized_vendor_url, coalesce(split_part(kind, '_', 2), status), CAST(NULL AS BIGINT), concat_ws('|', coalesce(payload, vendor_json), error), coalesce(ts, updated_at)
+FROM vendors LEFT JOIN v ON normalized_vendor_url = key
+UNION ALL SELECT 'vehicles', coalesce(url, vehicle_url), 'done', CAST(NULL AS BIGINT), concat_ws('|', coalesce(d.run_id, vehicles.run_id), coalesce(hid, haendler_id), coalesce(payload, data_json)), coalesce(CAST(seq AS VARCHAR), updated_at)
+FROM vehicles FULL JOIN d ON url = vehicle_url
+UNION ALL SELECT 'errors', url, CASE WHEN kind = 'error' THEN coalesce(stage, 'pipeline') ELSE split_part(kind, '_', 1) END, seq, concat_ws('|', 'r2', error), ts FROM ev WHERE kind LIKE '%failed' OR kind = 'error'
 """,
 )
 def _(spark, sf_dir):
     folder = _scratch(spark, "stream-state")
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    kind = (
-        F.when(F.col("event_type") == "purchase", F.lit("vehicle_done"))
-        .when(F.col("event_type") == "error", F.lit("vehicle_failed"))
-        .otherwise(F.lit("vehicle_processing"))
-    )
-    rows = source.select(
-        F.col("event_id").alias("seq"), kind.alias("kind"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.lit("r1").alias("run_id"),
-        F.lit("C1").alias("haendler_id"), F.col("event_id").cast("string").alias("payload"),
-        F.lit("boom").alias("error"), F.lit(None).cast("string").alias("stage"), F.lit(500).alias("status_code"),
-        F.lit("").alias("error_type"), F.col("event_id").cast("string").alias("ts"),
+    event_files(spark, sf_dir).createOrReplaceTempView("live_events")
+    first = {"vehicle_jobs": run(spark, sf_dir, _LIVE_JOBS), "vendors": run(spark, sf_dir, _LIVE_VENDORS), "vehicles": run(spark, sf_dir, _LIVE_VEHICLES)}
+    rows = spark.sql(_LIVE.format(events="live_events"))
+    stream.write_state(rows, f"{folder}/state", f"{folder}/progress", "r2", "now", first).awaitTermination()
+    got = stream.load_state(spark, f"{folder}/state")
+
+    def part(name, key, status, attempts, details, updated):
+        detail = F.concat_ws("|", *details) if len(details) > 1 else F.col(details[0])
+        return got[name].select(F.lit(name).alias("tbl"), F.col(key).alias("key"), F.col(status).alias("status"), F.expr(attempts).cast("bigint").alias("attempts"), detail.alias("detail"), F.col(updated).alias("updated_at"))
+
+    return (
+        part("vehicle_jobs", "vehicle_url", "status", "attempts", ["last_error"], "updated_at")
+        .unionByName(part("vendors", "normalized_vendor_url", "status", "null", ["vendor_json", "last_error"], "updated_at"))
+        .unionByName(part("vehicles", "vehicle_url", "status", "null", ["run_id", "haendler_id", "data_json"], "updated_at"))
+        .unionByName(part("errors", "url", "stage", "seq", ["run_id", "error_message"], "timestamp"))
     )
-    stream.write_state(rows, f"{folder}/state", f"{folder}/progress", "r1", "now").awaitTermination()
-    return stream.load_state(spark, f"{folder}/state")["vehicles"].select("vehicle_url", "data_json")
 
 
 @query(

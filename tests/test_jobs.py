@@ -163,18 +163,6 @@ def test_events_respect_the_run(spark):
     assert got == {"u1": ("done", 1), "u2": ("queued", 0)}
 
 
-def test_stream_breaker(spark, tmp_path):
-    rows = spark.createDataFrame([(i, "m", i % 4 != 0) for i in range(20)], "seq long, method string, blocked boolean")
-    rows.filter("seq < 10").coalesce(1).write.parquet(str(tmp_path / "in"))
-    rows.filter("seq >= 10").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    events.write_breaker(
-        source, str(tmp_path / "b"), str(tmp_path / "cp"), "method", "seq", "blocked", total_limit=6
-    ).awaitTermination()
-    got = sinks.Checkpoints(spark, str(tmp_path / "b")).load("summary").first()
-    assert (got["tripped_at"], got["trip_reason"], got["attempts"]) == (7, "total", 20)
-
-
 def test_registered_queries_have_oracles():
     import __spark_entry__ as entry
     from lotwise.queries import ORACLES, QUERIES
