@@ -6,6 +6,8 @@ normalises a row once does not pay for it again in every parse.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,24 +19,38 @@ def _ready(c: Column | str, ready: bool) -> Column:
     return T.col(c) if ready else T.normalize_text(c)
 
 
-def _double(c: Column) -> Column:
-    return T.null_if_empty(c).try_cast("double")
+class Parser:
+    """A number out of a text in two steps: the piece of text that holds it, and its value.
+
+    As a function it does both.  A job stages the pieces as columns first: the value names its
+    piece several times, and a staged column is computed once and stays in generated code.
+    """
 
+    def __init__(self, piece: Callable[[Column], Column], value: Callable[[Column], Column], doc: str):
+        self.piece, self.value, self.__doc__ = piece, value, doc
 
-def _whole(c: Column) -> Column:
-    return T.null_if_empty(c).try_cast("bigint")
+    def __call__(self, c: Column | str, ready: bool = False) -> Column:
+        return T.let(self.piece(_ready(c, ready)), self.value)
 
 
-def _money_of(run: Column) -> Column:
-    """Value of one digit run; the separators decide what is a thousands mark."""
-    return _double(T.let(run, _plain))
+def _double(piece: Column) -> Column:
+    return F.nullif(piece, F.lit("")).try_cast("double")
+
+
+def _whole(piece: Column) -> Column:
+    return F.nullif(piece, F.lit("")).try_cast("bigint")
+
 
+def _extract(pattern: str, group: int) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_extract(c, pattern, group)
 
-def _plain(run: Column) -> Column:
+
+def _amount(run: Column) -> Column:
+    """Value of one digit run; the separators decide what is a thousands mark."""
     comma, dot = run.contains(","), run.contains(".")
     last_comma = F.length(F.substring_index(run, ",", -1))
     last_dot = F.length(F.substring_index(run, ".", -1))
-    return (
+    return _double(
         F.when(comma & dot, F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(comma & (last_comma == 3), F.replace(run, F.lit(","), F.lit("")))
         .when(comma, F.replace(run, F.lit(","), F.lit(".")))
@@ -43,66 +59,36 @@ def _plain(run: Column) -> Column:
     )
 
 
-def money(c: Column | str, ready: bool = False) -> Column:
-    """First amount in a price text.
-
-    One decimal digit is not an amount's decimal part, so ``3.5`` reads as 3.
-    """
-    return _money_of(F.regexp_extract(_ready(c, ready), fixed.MONEY_PATTERN, 0))
-
-
-def number(c: Column | str, ready: bool = False) -> Column:
-    """First run of digits, dots and commas, read as :func:`money`."""
-    run = F.regexp_extract(_ready(c, ready), r"[\d.,]+", 0)
-    return _money_of(F.regexp_extract(run, fixed.MONEY_PATTERN, 0))
-
+def _percentage(run: Column) -> Column:
+    german = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return _double(F.when(run.contains(","), german).otherwise(run))
 
-def whole(c: Column | str, ready: bool = False) -> Column:
-    """First whole number anywhere."""
-    return _whole(F.regexp_extract(_ready(c, ready), r"\d+", 0))
 
+def _decimal(piece: Column) -> Column:
+    return _double(F.replace(piece, F.lit(","), F.lit(".")))
 
-def leading_whole(c: Column | str, ready: bool = False) -> Column:
-    """Whole number at the start only."""
-    return _whole(F.regexp_extract(_ready(c, ready), r"^\d+", 0))
 
-
-def _unit(c: Column | str, unit: str, ready: bool) -> Column:
-    amount = F.regexp_extract(_ready(c, ready), rf"(\d+(?:[.,]\d+)?)\s*{unit}", 1)
-    return _double(F.replace(amount, F.lit(","), F.lit(".")))
-
-
-def kilowatts(c: Column | str, ready: bool = False) -> Column:
-    return _unit(c, "kW", ready)
-
-
-def horsepower(c: Column | str, ready: bool = False) -> Column:
-    return _unit(c, "PS", ready)
-
-
-def percent(c: Column | str, ready: bool = False) -> Column:
-    """Percentage; dots are thousands marks only if a comma is there too."""
-    def plain(run: Column) -> Column:
-        german = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-        return F.when(run.contains(","), german).otherwise(run)
-
-    return _double(T.let(F.regexp_extract(_ready(c, ready), r"([\d,.]+)\s*%", 1), plain))
-
-
-def year(c: Column | str, ready: bool = False) -> Column:
-    return _whole(F.regexp_extract(_ready(c, ready), r"\d{4}", 0))
-
-
-def month(c: Column | str, ready: bool = False) -> Column:
-    """Month 1 to 12 in front of a four-digit year."""
-    return _whole(
-        F.regexp_extract(_ready(c, ready), r"(?U)\b(0?[1-9]|1[0-2])[/.-]\d{4}\b", 1)
-    )
+def _first_number(c: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(c, r"[\d.,]+", 0), fixed.MONEY_PATTERN, 0)
 
 
-def months(c: Column | str, ready: bool = False) -> Column:
-    """A duration, given in months."""
-    return whole(c, ready)
+money = Parser(
+    _extract(fixed.MONEY_PATTERN, 0), _amount,
+    "First amount in a price text.  One decimal digit is not an amount's decimal part, so ``3.5`` reads as 3.",
+)
+number = Parser(_first_number, _amount, "First run of digits, dots and commas, read as money.")
+whole = Parser(_extract(r"\d+", 0), _whole, "First whole number anywhere.")
+leading_whole = Parser(_extract(r"^\d+", 0), _whole, "Whole number at the start only.")
+kilowatts = Parser(_extract(r"(\d+(?:[.,]\d+)?)\s*kW", 1), _decimal, "Power in kW.")
+horsepower = Parser(_extract(r"(\d+(?:[.,]\d+)?)\s*PS", 1), _decimal, "Power in PS.")
+percent = Parser(
+    _extract(r"([\d,.]+)\s*%", 1), _percentage, "Percentage; dots are thousands marks only if a comma is there too."
+)
+year = Parser(_extract(r"\d{4}", 0), _whole, "First four digits.")
+month = Parser(
+    _extract(r"(?U)\b(0?[1-9]|1[0-2])[/.-]\d{4}\b", 1), _whole, "Month 1 to 12 in front of a four-digit year."
+)
+months = Parser(_extract(r"\d+", 0), _whole, "A duration, given in months.")
 
 
 def count_value(c: Column | str) -> Column:

@@ -110,7 +110,8 @@ def compose_unicode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return df
     needed = F.lit(False)
     for name in columns:
-        needed = needed | F.coalesce(field(name).rlike(_COMPOSABLE), F.lit(False))
+        ascii_only = F.octet_length(field(name)) == F.char_length(field(name))
+        needed = needed | F.coalesce(~ascii_only & field(name).rlike(_COMPOSABLE), F.lit(False))
     composed = df.withColumn(
         "__composed", _compose(F.when(needed, F.array(*[field(n) for n in columns])))
     )

@@ -190,11 +190,30 @@ def append_filled(previous: Column, filled: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(before, filled)), ", ")
 
 
-def enrichment_summary(rows: DataFrame) -> DataFrame:
-    """Counts over the enriched records in one aggregate row."""
+def _coverage(rows: DataFrame, fields: Sequence[str], before: bool) -> Column:
+    """Per cent of all cells of the fields that hold a value; before enrichment, those it filled don't count."""
+    held = F.lit(0)
+    for f in fields:
+        if f in rows.columns:
+            present = T.has_clean_value(T.field(f))
+            if before:
+                present = present & ~F.coalesce(F.array_contains("filled_fields", f), F.lit(False))
+            held = held + present.cast("int")
+    return F.coalesce(F.round(F.try_divide(F.sum(held) * 100.0, F.count("*") * len(fields)), 2), F.lit(0.0))
+
+
+def enrichment_summary(rows: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Counts over the enriched records in one aggregate row, coverage before and after among them.
+
+    ``failures`` is the run's failed attempts; blocked ones are counted.
+    """
     tried = F.col("decision") == "candidate"
     hit = tried & F.col("detail_data_source").isNotNull()
     improved = F.greatest(F.col("missing_before") - F.col("missing_after"), F.lit(0))
+    sections = {"technical": fixed.TECHNICAL_FIELDS, "financing": fixed.FINANCING_FIELDS}
+    blocked = F.lit(0).cast("bigint")
+    if failures is not None:
+        blocked = attempt_counts(failures).agg(F.coalesce(F.sum("blocked_count"), F.lit(0)).alias("n")).scalar()
     return rows.agg(
         F.count_if(F.col("decision") == "already_complete").alias("already_complete_count"),
         F.count_if(F.col("decision") == "skipped_by_limit").alias("skipped_by_limit_count"),
@@ -204,12 +223,18 @@ def enrichment_summary(rows: DataFrame) -> DataFrame:
         F.count_if(tried & ~F.coalesce(hit, F.lit(False))).alias("failed"),
         F.count_if(hit & (F.col("detail_data_source") == "cache")).alias("cache_hit"),
         F.count_if(hit & (improved > 0)).alias("vehicles_improved_count"),
+        F.count_if(hit & (improved == 0)).alias("successful_without_new_fields_count"),
         F.coalesce(F.sum(F.when(hit, improved)), F.lit(0)).alias("fields_improved_count"),
         F.coalesce(F.sum(F.when(hit, F.size("filled_fields"))), F.lit(0)).alias("fields_filled_count"),
         F.coalesce(F.sum(F.when(tried, F.col("missing_before"))), F.lit(0)).alias("missing_field_total_before"),
         F.coalesce(F.sum(F.when(tried, F.col("missing_after"))), F.lit(0)).alias("missing_field_total_after"),
         F.count_if(tried & (F.col("missing_after") > 0)).alias("still_missing_vehicle_count"),
-    )
+        *[
+            _coverage(rows, fields, when == "before").alias(f"{name}_coverage_{when}_pct")
+            for name, fields in sections.items()
+            for when in ("before", "after")
+        ],
+    ).withColumn("blocked", blocked)
 
 
 def failed_attempts(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:

@@ -462,6 +462,14 @@ def category_options(
     counts drop.  A page has at most twelve categories, all kept in its row until
     the final explode.
     """
+    rows = _with_options(pages, html, require_positive_count)
+    return rows.select(key, F.posexplode_outer("__options").alias("place", "o")).select(
+        key, "place", "o.value", "o.label", "o.count", "o.url"
+    ).filter(F.col("value").isNotNull())
+
+
+def _with_options(pages: DataFrame, html: str, require_positive_count: bool) -> DataFrame:
+    """Pages with their payload objects (``__objects``) and category filters (``__options``)."""
     rows = pages.withColumn("__objects", J.objects_with(F.col("payloads"), _CATEGORY_KEYS))
     rows = rows.withColumn(
         "__all", _category_candidates(F.col(html), F.col("__objects"), require_positive_count)
@@ -500,39 +508,31 @@ def category_options(
 
     codes = F.array(*[F.lit(c) for c in fixed.CATEGORY_LABELS])
     found = F.array_sort(F.filter(F.transform(codes, of_value), lambda o: o["pos"].isNotNull()))
-    return rows.select(key, F.posexplode_outer(found).alias("place", "o")).select(
-        key, "place", "o.value", "o.label", "o.count", "o.url"
-    ).filter(F.col("value").isNotNull())
+    return rows.withColumn("__options", found).drop("__all", "__use")
 
 
 def category_values(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Category codes per page: counted options first, then all payload mentions."""
-    counted = category_options(pages, key, html, require_positive_count=True).select(
-        key, "value", F.col("place").cast("bigint").alias("ord")
-    )
-    objects = pages.select(
-        key, F.posexplode_outer(J.objects_with(F.col("payloads"), _CATEGORY_KEYS)).alias("n", "obj")
-    )
-    options = F.from_json(F.get_json_object("obj", "$.options"), "array<string>")
-    mentions = F.concat(
-        F.array(_scalar(F.col("obj"), "vc"), _scalar(F.col("obj"), "vehicleCategory")),
-        F.coalesce(F.from_json(F.get_json_object("obj", "$.values"), "array<string>"), F.array().cast("array<string>")),
-        F.coalesce(
+    """Category codes per page with their place: counted options first, then all payload mentions.
+
+    All of it is arrays of the page's own row: one walk over the payload, no shuffle.
+    """
+    rows = _with_options(pages, html, True)
+    none = F.array().cast("array<string>")
+
+    def mentions(obj: Column) -> Column:
+        options = F.coalesce(F.from_json(F.get_json_object(obj, "$.options"), "array<string>"), none)
+        return F.concat(
+            F.array(_scalar(obj, "vc"), _scalar(obj, "vehicleCategory")),
+            F.coalesce(F.from_json(F.get_json_object(obj, "$.values"), "array<string>"), none),
             F.transform(F.filter(options, lambda o: o.startswith("{")), lambda o: _scalar(o, "value")),
-            F.array().cast("array<string>"),
-        ),
-    )
-    named = objects.select(key, "n", F.posexplode_outer(mentions).alias("i", "raw")).select(
-        key,
-        T.without_placeholder("raw").alias("value"),
-        (F.lit(1000) + F.col("n").cast("bigint") * 1_000_000 + F.col("i")).alias("ord"),
-    )
-    return (
-        counted.unionByName(named)
-        .filter(F.col("value").isin(list(fixed.CATEGORY_LABELS)))
-        .groupBy(key, "value")
-        .agg(F.min("ord").alias("ord"))
-    )
+        )
+
+    named = F.transform(F.flatten(F.transform("__objects", mentions)), lambda x: T.without_placeholder(x))
+    every = F.concat(F.transform("__options", lambda o: o["value"]), F.coalesce(named, none))
+    known = F.filter(every, lambda x: x.isin(list(fixed.CATEGORY_LABELS)))
+    return rows.select(key, F.posexplode_outer(F.array_distinct(known)).alias("ord", "value")).filter(
+        F.col("value").isNotNull()
+    ).select(key, "value", F.col("ord").cast("bigint").alias("ord"))
 
 
 # -- vendors --------------------------------------------------------------------------
@@ -789,32 +789,57 @@ def payload_key_hits(listings: DataFrame, keys: list[str], raw: str = "listing")
     )
 
 
+#: Keyword hits that an audited page shows.
+AUDIT_HITS = 100
+
+
 def vendor_audit(pages: DataFrame, key: str, html: str = "html", site: Marketplace = DEFAULT_SITE) -> DataFrame:
-    """Listing counts of the three sources and distinct detail URLs per page."""
-    from lotwise.operators.cards import listing_cards
-
-    records = listing_records(pages, key, site)
-    raw = search_listings(pages, key)
-    cards = listing_cards(pages, key, html, site)
-    links = detail_links(pages, key, html, site)
-    urls = (
-        records.select(key, "Vehicle_URL")
-        .unionByName(links.select(key, F.col("url").alias("Vehicle_URL")))
-        .unionByName(cards.select(key, "Vehicle_URL"))
-        .filter(F.col("Vehicle_URL").contains("details.html"))
-        .distinct()
-    )
-    tagged = (
-        records.select(key, F.lit("summary").alias("kind"))
-        .unionByName(raw.select(key, F.lit("raw").alias("kind")))
-        .unionByName(cards.select(key, F.lit("card").alias("kind")))
-        .unionByName(urls.select(key, F.lit("url").alias("kind")))
-    )
-    counts = tagged.groupBy(key).agg(
-        *[F.count_if(F.col("kind") == k).alias(f"__{k}") for k in ("summary", "raw", "card", "url")]
-    )
-    return pages.select(key).join(counts, key, "left").select(
+    """Per page the listing count of the best of three sources, distinct detail URLs, and keyword hits.
+
+    One projection: the payload is walked once, and all counts are sizes of arrays in the page's
+    row.  ``hits`` holds the first hundred target keywords in the keys of the raw listings.
+    """
+    from lotwise.operators.cards import card_markup, card_url
+
+    none = F.array().cast("array<string>")
+    rows = pages.withColumn("__objects", F.coalesce(J.objects_with(F.col("payloads"), ["searchResults", "listingId"]), none))
+    results = F.transform(
+        F.filter("__objects", lambda o: o.contains('"searchResults"')),
+        lambda o: F.coalesce(F.from_json(o, "searchResults struct<listings array<string>>")["searchResults"]["listings"], none),
+    )
+    text_of = lambda o, name: T.text(F.get_json_object(o, f"$.{name}"))
+    rows = rows.withColumns(
+        {
+            "__raw": F.filter(F.flatten(results), lambda r: r.startswith("{")),
+            "__own": F.transform("__objects", lambda o: text_of(o, "listingId")),
+            "__cards": card_markup(html),
+            "__hrefs": F.filter(H.anchors(F.col(html)), lambda a: U.is_vehicle_href(a["href"])),
+            "__named": F.regexp_extract_all(T.text(F.col(html)), F.lit(r'"listingId"\s*:\s*(\d{5,})'), F.lit(1)),
+        }
+    )
+    urls_of = lambda ids: F.transform(F.filter(ids, lambda i: U.is_listing_id(i)), lambda i: U.vehicle_url(i, site))
+    searched = F.transform("__raw", lambda r: T.first_filled(F.get_json_object(r, "$.id"), F.get_json_object(r, "$.listingId")))
+    rows = rows.withColumns(
+        {
+            "__records": F.array_distinct(urls_of(F.concat(searched, F.col("__own")))),
+            "__links": F.concat(F.transform("__hrefs", lambda a: U.vehicle_url(a["href"], site)), urls_of(F.col("__named"))),
+            "__card_urls": F.transform("__cards", lambda c: card_url(c, site)),
+        }
+    )
+    urls = F.filter(F.array_distinct(F.concat("__records", "__links", "__card_urls")), lambda u: u.contains("details.html"))
+    words = sorted({w for ws in fixed.TARGET_KEYWORDS.values() for w in ws})
+    whole = F.concat(F.lit("["), F.array_join("__raw", ","), F.lit("]"))
+    rows = rows.withColumn("__keys", F.coalesce(J.keyed_values(F.when(F.size("__raw") > 0, F.array(whole)), words), F.array().cast("array<struct<key:string,path:string,value:string>>")))
+
+    def of_key(v: Column) -> Column:
+        excerpt = F.substring(T.clean_text(v["value"]), 1, 300)
+        return F.transform(
+            audit.key_fields(v["key"]), lambda f: F.struct(f.alias("field"), v["path"].alias("path"), excerpt.alias("value_excerpt"))
+        )
+
+    return rows.select(
         key,
-        F.coalesce(F.greatest("__summary", "__raw", "__card"), F.lit(0)).alias("listing_count"),
-        F.coalesce("__url", F.lit(0)).alias("real_detail_url_count"),
+        F.greatest(F.size("__records"), F.size("__raw"), F.size("__cards")).cast("bigint").alias("listing_count"),
+        F.size(urls).cast("bigint").alias("real_detail_url_count"),
+        F.slice(F.flatten(F.transform("__keys", of_key)), 1, AUDIT_HITS).alias("hits"),
     )

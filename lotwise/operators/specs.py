@@ -60,10 +60,10 @@ def neighbour_pairs(texts: Column) -> Column:
         return F.when(
             item["label"].isNotNull(), _pair(item["label"], F.coalesce(item["next"], F.lit("")))
         ).otherwise(
-            _pair(
-                F.regexp_extract(item["text"], inline, 1),
-                F.trim(F.regexp_extract(item["text"], inline, 2), F.lit(" :")),
-            )
+            F.when(
+                item["text"].contains(":") | item["text"].contains("-"),
+                _pair(F.regexp_extract(item["text"], inline, 1), F.trim(F.regexp_extract(item["text"], inline, 2), F.lit(" :"))),
+            ).otherwise(_pair("", F.lit("")))
         )
 
     def with_next(all_texts: Column) -> Column:
@@ -121,9 +121,10 @@ def labelled_pairs(words: Column) -> Column:
         *[
             _pair(
                 label,
-                T.clean_text(
-                    F.regexp_extract(words, rf"(?U){T.quote(label)}\s*[:\-]\s*([^|•]{{1,80}})", 1)
-                ),
+                F.when(
+                    words.contains(label),
+                    T.clean_text(F.regexp_extract(words, rf"(?U){T.quote(label)}\s*[:\-]\s*([^|•]{{1,80}})", 1)),
+                ).otherwise(F.lit("")),
             )
             for label in labels
         ]

@@ -352,24 +352,6 @@ def _(spark, sf_dir):
     )
 
 
-@query(
-    "enrich_summary",
-    f"""
-SELECT count(*) FILTER (WHERE decision = 'already_complete') AS already_complete_count,
-  count(*) FILTER (WHERE decision = 'candidate') AS attempted, count(*) FILTER (WHERE method IS NOT NULL) AS success,
-  count(*) FILTER (WHERE decision = 'candidate' AND method IS NULL) AS failed, count(*) FILTER (WHERE method = 'cache') AS cache_hit,
-  count(*) FILTER (WHERE decision = 'skipped_duplicate_id') AS skipped_duplicate_id_count,
-  CAST(sum(CASE WHEN (method = 'cache' AND Farbe = '') OR (method = 'manual-html' AND Hubraum IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS fields_filled_count
-FROM ({_ENRICHED})
-""",
-)
-def _(spark, sf_dir):
-    return enrich.enrichment_summary(_enriched(spark, sf_dir)).select(
-        "already_complete_count", "attempted", "success", "failed", "cache_hit", "skipped_duplicate_id_count",
-        "fields_filled_count",
-    )
-
-
 _FAILURES = """
 SELECT event_id, concat(' ', CAST(user_id AS STRING), ' ') AS vehicle_id, event_type AS url, CASE WHEN event_id % 2 = 0 THEN 'existing' ELSE 'cache' END AS method,
        CASE WHEN event_type = 'error' THEN 'blocked by site' ELSE 'missing' END AS reason, '' AS classification, '' AS detail_status,
@@ -378,6 +360,30 @@ FROM events
 """
 
 
+@query(
+    "enrich_summary",
+    f"""
+WITH e AS (SELECT *, CASE WHEN (method = 'cache' AND Farbe = '') OR (method = 'manual-html' AND Hubraum IS NULL) THEN 1 ELSE 0 END AS filled,
+  (Farbe <> '')::INT + (Hubraum IS NOT NULL)::INT AS held FROM ({_ENRICHED}))
+SELECT count(*) FILTER (WHERE decision = 'already_complete') AS already_complete_count, count(*) FILTER (WHERE decision = 'skipped_by_limit') AS skipped_by_limit_count,
+  count(*) FILTER (WHERE decision = 'skipped_duplicate_id') AS skipped_duplicate_id_count, count(*) FILTER (WHERE decision = 'candidate') AS attempted,
+  count(*) FILTER (WHERE method IS NOT NULL) AS success, count(*) FILTER (WHERE decision = 'candidate' AND method IS NULL) AS failed,
+  count(*) FILTER (WHERE method = 'cache') AS cache_hit, count(*) FILTER (WHERE filled = 1) AS vehicles_improved_count,
+  count(*) FILTER (WHERE method IS NOT NULL AND filled = 0) AS successful_without_new_fields_count,
+  CAST(sum(filled) AS BIGINT) AS fields_improved_count, CAST(sum(filled) AS BIGINT) AS fields_filled_count,
+  CAST(sum(missing) FILTER (WHERE decision = 'candidate') AS BIGINT) AS missing_field_total_before,
+  CAST(sum(missing - filled) FILTER (WHERE decision = 'candidate') AS BIGINT) AS missing_field_total_after,
+  count(*) FILTER (WHERE decision = 'candidate' AND missing - filled > 0) AS still_missing_vehicle_count,
+  round(CAST(sum(held) AS DOUBLE) * 100 / (count(*) * 10), 2) AS technical_coverage_before_pct, round(CAST(sum(held + filled) AS DOUBLE) * 100 / (count(*) * 10), 2) AS technical_coverage_after_pct,
+  0.0::DOUBLE AS financing_coverage_before_pct, 0.0::DOUBLE AS financing_coverage_after_pct,
+  (SELECT count(*) FROM events WHERE event_type IN ('error', 'click')) AS blocked
+FROM e
+""",
+)
+def _(spark, sf_dir):
+    return enrich.enrichment_summary(_enriched(spark, sf_dir), run(spark, sf_dir, _FAILURES))
+
+
 @query(
     "failed_ledger",
     "SELECT CAST(user_id AS VARCHAR) AS vehicle_id, event_type AS url, CASE WHEN event_id % 2 = 0 THEN 'existing' ELSE 'cache' END AS method, "

@@ -649,10 +649,17 @@ def _(spark, sf_dir):
 
 @query(
     "vendor_audit",
-    f"SELECT l_orderkey, count(DISTINCT listing) AS real_detail_url_count, count(*) AS listing_count FROM ({BASE}) GROUP BY l_orderkey",
+    f"""
+WITH h AS (SELECT l_orderkey, pos, unnest([{{'n': 0, 'hit': CASE WHEN v = 4 THEN concat('CO₂-Emissionen|[', pos, '].attr.co2|', co2, ' g/km') END}},
+    {{'n': 1, 'hit': concat('Anzahl der Fahrzeughalter|[', pos, '].attr.pvo|', l_linenumber)}}], recursive := true) FROM ({_SEARCH})),
+t AS (SELECT l_orderkey, string_agg(hit, ';' ORDER BY pos, n) AS hits FROM h WHERE hit IS NOT NULL GROUP BY 1)
+SELECT b.l_orderkey, count(DISTINCT listing) AS real_detail_url_count, count(*) AS listing_count, any_value(hits) AS hits FROM ({BASE}) b JOIN t USING (l_orderkey) GROUP BY 1
+""",
 )
 def _(spark, sf_dir):
-    return payloads.vendor_audit(_inventory_pages(spark, sf_dir), "l_orderkey")
+    found = payloads.vendor_audit(_inventory_pages(spark, sf_dir), "l_orderkey")
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws("|", h["field"], h["path"], h["value_excerpt"])), ";")
+    return found.withColumn("hits", hits)
 
 
 # -- categories ----------------------------------------------------------------------------

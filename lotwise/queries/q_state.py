@@ -149,6 +149,33 @@ def _(spark, sf_dir):
     return state.export_vendors(run(spark, sf_dir, _STATE), "r1")
 
 
+@query(
+    "export_vehicles",
+    "SELECT concat('u', user_id) AS vehicle_url, concat('H', user_id % 9) AS haendler_id, CAST(max(event_id) AS VARCHAR) AS data_json FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 GROUP BY user_id",
+)
+def _(spark, sf_dir):
+    new = run(spark, sf_dir, _EVENTS).filter("kind = 'done'")
+    user = F.expr("cast(substring(vehicle_url, 2) as bigint)")
+    done = new.withColumns({"haendler_id": F.concat(F.lit("H"), (user % 9).cast("string")), "run_id": F.when(user % 2 == 0, F.lit("r2")).otherwise(F.lit("r1"))})
+    held = state.upsert_vehicles(spark.createDataFrame([], state.VEHICLE_STATE), done)
+    return state.export_vehicles(held, "r2").select("vehicle_url", "haendler_id", "data_json")
+
+
+@query(
+    "export_errors",
+    "SELECT event_id AS seq, 'vehicle' AS stage, concat('u', user_id) AS url, concat('m', event_id) AS error_message FROM events WHERE event_type = 'error' AND event_id % 2 = 0",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        F.col("event_id").alias("seq"), F.lit("vehicle").alias("stage"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
+        F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("error"),
+    )
+    held = spark.createDataFrame([], state.ERROR_STATE)
+    for part in range(2):
+        held = state.append_errors(held, rows.filter(F.col("seq") % 2 == part), f"r{part}", "now")
+    return state.export_errors(held, "r0").select("seq", "stage", "url", "error_message")
+
+
 _RUNS = """
 SELECT concat('run', CAST(event_id AS STRING)) AS run_id, event_type AS state, CAST(ts AS STRING) AS started_at, CAST(NULL AS STRING) AS finished_at,
        'processing' AS status, CAST(user_id AS STRING) AS config_hash, concat('/runs/', CAST(event_id AS STRING)) AS path, CAST(user_id % 8 AS INT) AS shard, event_id
@@ -233,7 +260,7 @@ def _(spark, sf_dir):
     return ordered.cap_per_group(lines, ["l_suppkey"], ["l_linenumber", "l_orderkey", "l_partkey"], 30)
 
 
-@query("shard_assign")
+@query("shard_assign", "SELECT page_id, CAST(CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 4 AS INTEGER) AS shard FROM pages")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ordered.shard_of(F.col("url"), 4).alias("shard"))
 

@@ -169,4 +169,4 @@ def test_registered_queries_have_oracles():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles) and set(oracles) <= set(queries)
-    assert len(QUERIES) > 130 and sorted(set(QUERIES) - set(ORACLES)) == ["listing_records", "shard_assign"]
+    assert len(QUERIES) > 130 and sorted(set(QUERIES) - set(ORACLES)) == ["listing_records"]
