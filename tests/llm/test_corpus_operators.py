@@ -423,6 +423,35 @@ def test_neighbours_reach_the_recall(spark):
     assert [(r.query_id, r.vec_id) for r in ann.neighbours(two, F.col("vec_id") == 0).collect()] == [(0, 1)]
 
 
+def test_few_rows_are_compared_for_the_recall(spark):
+    """Vectors without any clusters, the hardest case: recall on rows that visits weren't calibrated with."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (2000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = ann.index(ann.store(ann.usable(frame, "vec_id", "embedding")))
+    got = defaultdict(set)
+    for r in ann.search(found, F.col("vec_id") % 20 == 7).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q, ids in got.items():
+        away = ((x - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        hit += len(ids & set(np.argpartition(away, 10)[:10].tolist()))
+    assert len(got) == 100 and hit >= 0.9 * 1000
+    compared = sum(sorted(found.sizes.values(), reverse=True)[: found.most])  # at most so many rows a query
+    assert compared < 0.4 * len(x)
+
+
+def test_leaves_grow_as_the_root():
+    assert [ann.leaves_for(n) for n in (0, 1, 100, 10_000, 40_000, 10**12)] == [64, 64, 240, 2400, 4800, 10_000]
+
+
+def test_rows_of_one_vec_id_are_rows_of_their_own(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.neighbours(rows, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
