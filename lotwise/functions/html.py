@@ -57,8 +57,12 @@ def unescape(c: Column) -> Column:
 
 def markup_text(c: Column) -> Column:
     """Visible text: comments, scripts and styles dropped, tags become blanks."""
-    visible = F.regexp_replace(F.regexp_replace(T.text(c), _HIDDEN, " "), _TAG, " ")
-    return T.clean_text(unescape(visible))
+
+
+    def visible(t: Column) -> Column:
+        return F.when(t.contains("<"), F.regexp_replace(F.regexp_replace(t, _HIDDEN, " "), _TAG, " ")).otherwise(t)
+
+    return T.clean_text(unescape(T.let(T.text(c), visible)))
 
 
 def inner_markup(html: Column, tag: str) -> Column:
@@ -131,8 +135,8 @@ def definition_pairs(html: Column) -> Column:
             T.text(html), F.lit(r"(?is)<(?:dt|dd)\b[^>]*>.*?</(?:dt|dd)\s*>|</dl\s*>"), F.lit(0)
         ),
         lambda t: F.struct(
-            F.lower(F.regexp_extract(t, r"^</?([A-Za-z]+)", 1)).alias("kind"),
-            markup_text(t).alias("text"),
+            F.lower(F.substring(t, 2, 2)).alias("kind"),  # dt, dd, or the slash of a list's end
+            markup_text(F.regexp_extract(t, r"(?s)^<[^>]*>(.*)<[^<]*$", 1)).alias("text"),
         ),
     )
     # Read backwards: a term takes the definition seen last, a list end clears it.
@@ -174,6 +178,6 @@ def leaf_texts(html: Column) -> Column:
     """Texts of the elements without nested markup, in page order."""
     visible = F.regexp_replace(T.text(html), _HIDDEN, " ")
     found = F.regexp_extract_all(
-        visible, F.lit(r"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*</\1\s*>"), F.lit(0)
+        visible, F.lit(r"(?is)<([a-z][a-z0-9]*)\b[^>]*>([^<]*)</\1\s*>"), F.lit(2)
     )
-    return F.transform(found, lambda e: markup_text(e))
+    return F.transform(found, lambda inner: T.clean_text(unescape(inner)))  # no markup is left in it

@@ -20,9 +20,9 @@ from lotwise import fixed
 # Blanks other than the space: Unicode white space and the four ASCII separators.
 _ODD = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Runs that cleaning changes; a lone space is none of them, so clean text matches
-# nowhere and is returned as it is.
-_BLANKS = rf"[ {_ODD}]*[{_ODD}][ {_ODD}]*| {{2,}}"
-_EDGES = rf"^[ {_ODD}]+|[ {_ODD}]+$"
+# nowhere and is returned as it is.  Printable ASCII is passed over by one comparison.
+_BLANKS = rf"(?=[^!-~])(?:[{_ODD}][ {_ODD}]*| [ {_ODD}]+)"
+_EDGES = rf"(?=[^!-~])(?:^[ {_ODD}]+|[ {_ODD}]+$)"
 
 # Code points that composition can change: marks, singletons, Hangul jamo,
 # compatibility ideographs.  Text without any of these is already composed.

@@ -11,6 +11,7 @@ a plain ``explode`` infers a size filter and computes the whole array a second t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,12 @@ def _canonical_map() -> Column:
     return T.literal_map(names)
 
 
-def canonical_label(c: Column) -> Column:
-    """Listed spelling of a label or alias; NULL for unknown labels."""
+def canonical_label(c: Column, ready: bool = False) -> Column:
+    """Listed spelling of a label or alias; NULL for unknown labels.  ``ready`` says the text is clean."""
     names, co2 = _canonical_map(), "|".join(fixed.CO2_LABEL_PREFIXES)
     return T.let(
-        F.lower(H.without_colon(c)),
-        lambda x: F.when(x.rlike(f"^(?:{co2})"), F.lit(fixed.CO2_LABEL)).otherwise(names[x]),
+        F.lower(F.rtrim(c, F.lit(":")) if ready else H.without_colon(c)),
+        lambda x: F.when(x.startswith("co") & x.rlike(f"^(?:{co2})"), F.lit(fixed.CO2_LABEL)).otherwise(names[x]),
     )
 
 
@@ -72,7 +73,7 @@ def neighbour_pairs(texts: Column) -> Column:
             all_texts,
             following,
             lambda t, n: F.struct(
-                t.alias("text"), canonical_label(t).alias("label"), n.alias("next")
+                t.alias("text"), canonical_label(t, ready=True).alias("label"), n.alias("next")
             ),
         )
 
@@ -106,12 +107,29 @@ def initial_state_text(html: Column) -> Column:
 
 def quick_stats(words: Column) -> Column:
     """Mileage, power, date, fuel, gearbox, emissions and capacity named in a text."""
-    return F.array(
-        *[
-            _pair(label, T.first_match(words, pattern, 1))
-            for pattern, label in fixed.QUICK_STAT_PATTERNS
-        ]
-    )
+
+
+    def stats(folded: Column) -> Column:
+        def found(pattern: str) -> Column:
+            return F.when(T.contains_any(folded, _needs(pattern)), T.first_match(words, pattern, 1)).otherwise(F.lit(""))
+
+        return F.array(*[_pair(label, found(pattern)) for pattern, label in fixed.QUICK_STAT_PATTERNS])
+
+    return T.let(_folded(words), stats)
+
+
+def _folded(words: Column) -> Column:
+    """Text in which a pattern without regard to case finds its words in lower case."""
+    return F.lower(F.upper(words))
+
+
+def _needs(pattern: str) -> list[str]:
+    """Words of which a text must hold one for the pattern to match: its longest run of letters, or its alternatives."""
+    choice = re.search(r"\((?:\?:)?([A-Za-z]{3,}(?:\|[A-Za-z]{3,})+)\)", pattern)
+    if choice:
+        return [w.lower() for w in choice.group(1).split("|")]
+    runs = re.findall(r"(?<![\\A-Za-z])[A-Za-z]{2,}", re.sub(r"\\[A-Za-z]|\[[^\]]*\]", " ", pattern))
+    return [max(runs, key=len).lower()]
 
 
 def labelled_pairs(words: Column) -> Column:
@@ -131,11 +149,19 @@ def labelled_pairs(words: Column) -> Column:
     )
 
 
+# Words of which a text must hold one for the trim-line pattern of the same place to match.
+_TRIM_LINE_NEEDS = [["design-"], ["ausstattungslinie"], ["amg", "line", "sport", "edition"]]
+
+
 def trim_line(words: Column) -> Column:
     """Equipment line named in a description, cut at option codes and packages."""
+    return T.let(_folded(words), lambda folded: _trim_line(words, folded))
+
+
+def _trim_line(words: Column, folded: Column) -> Column:
     tries = []
-    for pattern, group in fixed.TRIM_LINE_PATTERNS:
-        value = F.regexp_extract(words, T.insensitive(pattern), group)
+    for (pattern, group), needs in zip(fixed.TRIM_LINE_PATTERNS, _TRIM_LINE_NEEDS, strict=True):
+        value = F.when(T.contains_any(folded, needs), F.regexp_extract(words, T.insensitive(pattern), group))
         value = F.get(F.split(value, r"(?U)\s+(?:[A-Z]\d{2,3}|\d{3}[A-Z]?|[A-Z]{2,4}\d?)\s+", 2), F.lit(0))
         value = F.get(
             F.split(
