@@ -58,13 +58,13 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 #: Rules: whole numbers that rise with what is wrong.
 RULES: dict[str, str] = {
-    "symbols": "1000 * n_symbols div n_words",
+    "symbols": "1000 * n_symbols div greatest(n_words, 1)",
     "dup_lines": "1000 * n_dup_lines div greatest(n_lines, 1)",
-    "repeats": "1000 * n_repeat_words div n_words",
-    "long_words": "100 * word_chars div n_words",
-    "short_words": "-(100 * word_chars div n_words)",
+    "repeats": "1000 * n_repeat_words div greatest(n_words, 1)",
+    "long_words": "100 * word_chars div greatest(n_words, 1)",
+    "short_words": "-(100 * word_chars div greatest(n_words, 1))",
     "capitals": "1000 * n_upper div greatest(n_letters, 1)",
-    "bangs": "1000 * n_bangs div n_words",
+    "bangs": "1000 * n_bangs div greatest(n_words, 1)",
 }
 
 

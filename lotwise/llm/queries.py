@@ -200,7 +200,7 @@ _CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce([n] || r
     worst AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
     lab AS (SELECT b.*, good, {_crc_sql('encode(CAST(doc_id AS VARCHAR))')} % {quality.FOLDS} = 0 AS fits FROM b JOIN worst USING (doc_id), crc WHERE NOT base_failed),
     val AS (SELECT doc_id, lang, base_failed, good, fits, unnest(v) AS v FROM
-            (SELECT b.doc_id, b.lang, b.base_failed, good, fits, [{', '.join(f"{{'rule': '{r}', 'value': CAST({q.replace(' div ', ' // ').replace('n_words', 'greatest(n_words, 1)')} AS BIGINT)}}" for r, q in quality.RULES.items())}] AS v
+            (SELECT b.doc_id, b.lang, b.base_failed, good, fits, [{', '.join(f"{{'rule': '{r}', 'value': CAST({q.replace(' div ', ' // ')} AS BIGINT)}}" for r, q in quality.RULES.items())}] AS v
              FROM (SELECT b.*, lab.good, lab.fits FROM b LEFT JOIN lab USING (doc_id)) b)),
     fit AS (SELECT lang, v.rule AS rule, v.value AS value, sum(good) AS good, sum(1 - good) AS bad FROM val WHERE fits GROUP BY ALL),
     cum AS (SELECT lang, rule, value, sum(good) OVER u AS gu, sum(bad) OVER u AS bu, sum(good) OVER a AS goods, sum(bad) OVER a AS bads

@@ -76,7 +76,7 @@ def test_measures_are_those_of_the_text(docs):
 
 
 def test_exact_binomial_tail():
-    for n, k, p in [(10, 0, 0.05), (100, 2, 0.05), (500, 24, 0.05), (37, 1, 0.2), (5000, 200, 0.05)]:
+    for n, k, p in [(10, 0, 0.05), (100, 2, 0.05), (500, 24, 0.05), (37, 1, 0.2), (900, 30, 0.05)]:
         exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert math.isclose(quality.tail(k, n, p), exact, rel_tol=1e-9)
     assert quality.tail(5, 100, 0.05) == 1.0 and quality.tail(0, 0, 0.05) == 1.0
@@ -85,7 +85,7 @@ def test_exact_binomial_tail():
 def labelled(spark):
     """Two strata with much junk, one whose good documents are junk too, one with few labels, and one null."""
     rng, rows, labels = random.Random(8), [], []
-    for i in range(1600):
+    for i in range(3200):
         lang = rng.choice(["en", "en", "de", "xx", None]) if i > 4 else "few"
         good = int(rng.random() > 0.3)
         words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(40, 80))]
@@ -133,7 +133,7 @@ def test_cutoffs_are_certified_by_stratum(spark):
     found = quality.ruled(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     expected, cutoffs = brute_verdicts(rows, labels)
     assert sorted((r.doc_id, r.kept) for r in found.collect()) == expected
-    assert "en" in cutoffs and "xx" not in cutoffs and "few" not in cutoffs  # a risky and a small stratum reject nothing
+    assert "en" in cutoffs and "few" not in cutoffs and "symbols" not in cutoffs.get("xx", {})  # few labels, and good documents like the bad
     assert cutoffs["en"]["symbols"] == 0 and any(not k for _, k in expected)
 
 
