@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,6 +31,7 @@ CHANGE = (
     "entity string, url string, known boolean, status string, updated_at string, attempts long, last_error string, payload string, "
     "result boolean, run_id string, haendler_id string, data_json string, done_at string, version long"
 )
+_CHANGE = [c.split()[0] for c in CHANGE.split(", ")]
 
 _STATUSES = ["processing", "done", "failed"]
 
@@ -41,7 +42,7 @@ def use_rocksdb(spark) -> None:
 
 
 def _last(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    return rows.sort_values("seq", kind="stable").drop_duplicates(keys, keep="last").set_index(keys)
+    return rows.drop_duplicates(keys, keep="last").set_index(keys)
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +51,8 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = rows.fillna({"run_id": ""})
         if rows.empty:
             continue
-        out = rows.groupby(keys).agg(starts=("kind", lambda k: int((k == "processing").sum())))
+        rows = rows.sort_values("seq", kind="stable")
+        out = (rows["kind"] == "processing").groupby([rows[k] for k in keys]).sum().astype("int64").to_frame("starts")
         last = _last(rows, keys)
         failed, done = _last(rows[rows["kind"] == "failed"], keys), _last(rows[rows["kind"] == "done"], keys)
         out = out.join(last[["seq", "kind", "ts"]].rename(columns={"kind": "status"}))
@@ -69,59 +71,55 @@ def folded(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(_fold, FOLDED)
 
 
-def _none(value: Any) -> Any:
-    return None if value is None or value is pd.NA or value != value else value
-
-
 class UrlState(StatefulProcessor):
     """State of one vendor or vehicle: its job row, if a table knows it, and its last result.
 
     An event applies where it is the newest so far by ``seq``, so the order in which
     micro-batches bring the events does not matter.  Events of another run than the row's
     don't apply to it; events without a run apply to any.
+
+    A URL costs one call of the state store for what it reads and one for what it changes; the
+    greater version of the two values is the URL's.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.job = handle.getValueState("job", _JOB)
         self.result = handle.getValueState("result", _RESULT)
+        self.begun = None
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        row = {k: _none(v) for k, v in initialState.iloc[0].items()}
-        if row["known"]:
-            self.job.update((row["run_id"], -1, row["status"], row["updated_at"], int(row["attempts"] or 0), -1, row["last_error"], -1, row["payload"], 0))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        row, first = initialState, self.begun != key
+        self.begun = key  # of several rows of a URL, which come one after the other, the first counts
+        if first and row["known"]:
+            self.job.update((row["run_id"], -1, row["status"], row["updated_at"], row["attempts"] or 0, -1, row["last_error"], -1, row["payload"], 0))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         entity, url = key
-        job = list(self.job.get()) if self.job.exists() else None
-        result = list(self.result.get()) if self.result.exists() else None
+        job, result = self.job.get(), self.result.get() if entity == "vehicle" else None
+        job, result = job and list(job), result and list(result)
         applied = finished = False
-        for part in rows:
-            for r in part.to_dict("records"):
-                r = {k: _none(v) for k, v in r.items()}
-                if job and r["run_id"] in ("", job[0]):
-                    applied = True
-                    job[4] += r["starts"]
-                    if r["seq"] > job[1]:
-                        job[1:4] = [r["seq"], r["status"], r["ts"] if r["ts"] is not None else job[3]]
-                    if r["error_seq"] is not None and r["error_seq"] > job[5]:
-                        job[5:7] = [int(r["error_seq"]), r["error"] if r["error"] is not None else job[6]]
-                    if r["done_seq"] is not None and r["done_seq"] > job[7]:
-                        job[7:9] = [int(r["done_seq"]), r["payload"] if r["payload"] is not None else job[8]]
-                if entity == "vehicle" and r["done_seq"] is not None and (result is None or r["done_seq"] > result[0]):
-                    finished = True
-                    result = [int(r["done_seq"]), r["run_id"], r["haendler_id"] or "", r["payload"], r["done_ts"], result[5] if result else 0]
+        for r in rows:
+            if job and r["run_id"] in ("", job[0]):
+                applied = True
+                job[4] += r["starts"]
+                if r["seq"] > job[1]:
+                    job[1:4] = [r["seq"], r["status"], r["ts"] if r["ts"] is not None else job[3]]
+                if r["error_seq"] is not None and r["error_seq"] > job[5]:
+                    job[5:7] = [r["error_seq"], r["error"] if r["error"] is not None else job[6]]
+                if r["done_seq"] is not None and r["done_seq"] > job[7]:
+                    job[7:9] = [r["done_seq"], r["payload"] if r["payload"] is not None else job[8]]
+            if entity == "vehicle" and r["done_seq"] is not None and (result is None or r["done_seq"] > result[0]):
+                finished = True
+                result = [r["done_seq"], r["run_id"], r["haendler_id"] or "", r["payload"], r["done_ts"], result[5] if result else 0]
         if not applied and not finished:
             return
         version = max(job[9] if job else 0, result[5] if result else 0) + 1
-        if job:
-            job[9] = version
-            self.job.update(tuple(job))
-        if result:
-            result[5] = version
-            self.result.update(tuple(result))
+        if applied:
+            self.job.update((*job[:9], version))
+        if finished:
+            self.result.update((*result[:5], version))
         j, d = job or [None] * 10, result or [None] * 6
-        row = (entity, url, bool(job), j[2], j[3], j[4], j[6], j[8], bool(result), d[1], d[2], d[3], d[4], version)
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in CHANGE.split(", ")])
+        yield Row(*_CHANGE)(entity, url, bool(job), j[2], j[3], j[4], j[6], j[8], bool(result), d[1], d[2], d[3], d[4], version)
 
     def close(self) -> None:
         pass
@@ -138,7 +136,7 @@ def known(vendors: DataFrame, jobs: DataFrame) -> DataFrame:
 def changes(events: DataFrame, vendors: DataFrame, jobs: DataFrame) -> DataFrame:
     """The change log of a stream of events over the first tables."""
     first = known(vendors, jobs).groupBy("entity", "url")
-    return folded(events).groupBy("entity", "url").transformWithStateInPandas(
+    return folded(events).groupBy("entity", "url").transformWithState(
         statefulProcessor=UrlState(), outputStructType=CHANGE, outputMode="append", timeMode="none", initialState=first
     )
 
