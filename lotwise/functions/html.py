@@ -21,10 +21,14 @@ ENTITIES = {
     "&reg;": "®", "&shy;": "\u00ad", "&amp;": "&",
 }
 
-_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>)"
+_HIDDEN = r"(?is)<(?=[!st])(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>)"
 # A script's content up to its end tag, passed over from one "<" to the next.
 _SCRIPT_BODY = r"([^<]*+(?:<(?!/script>)[^<]*+)*+)</script>"
-_TAG = r"(?s)</?[a-zA-Z!][^>]*>"
+# Hidden parts, and tags, which may hold such parts and other "<"; neighbours and the blanks behind them are one run.
+_MARKUP = (
+    r"(?is)(?:<(?:(?=[!st])(?:!--.*?-->|(script|style|template)\b.*?</\1\s*+>)"
+    r"|/?[a-z!][^<>]*+(?:<(?:(?=[!st])(?:!--.*?-->|(script|style|template)\b.*?</\2\s*+>))?+[^<>]*+)*+>)\s*+)++"
+)
 
 
 def _numeric_entities(t: Column, pattern: str, prefix: str, base: int) -> Column:
@@ -52,23 +56,23 @@ def unescape(c: Column) -> Column:
         return F.when(t.contains("&"), T.let(F.when(t.contains("&#"), numeric(t)).otherwise(t), named)).otherwise(t)
 
     def named(t: Column) -> Column:
-        # Only the entities that the text holds are searched for; none can come about by replacing another.
-        table = T.literal_pairs(("entity", "char"), ENTITIES.items())
-        there = F.regexp_extract_all(t, F.lit("&[A-Za-z]+[23]?;"), F.lit(0))
-        held = T.let(there, lambda names: F.filter(table, lambda e: F.array_contains(names, e["entity"])))
-        return F.aggregate(held, t, lambda acc, e: F.replace(acc, e["entity"], e["char"]))
+        # Only the entities that the text holds are replaced; none but the ampersand, which comes last, can make another.
+        table = T.literal_map(ENTITIES)
+        there = F.array_distinct(F.regexp_extract_all(t, F.lit("&[A-Za-z]+[23]?;"), F.lit(0)))
+        others = F.filter(there, lambda e: e != "&amp;")
+        plain = F.aggregate(others, t, lambda acc, e: F.replace(acc, e, F.coalesce(table[e], e)))
+        return F.replace(plain, F.lit("&amp;"), F.lit("&"))
 
     return T.let(c, resolve)
 
 
 def markup_text(c: Column) -> Column:
     """Visible text: comments, scripts and styles dropped, tags become blanks."""
-
-
     def visible(t: Column) -> Column:
-        return F.when(t.contains("<"), F.regexp_replace(F.regexp_replace(t, _HIDDEN, " "), _TAG, " ")).otherwise(t)
+        shown = F.when(t.contains("<"), F.regexp_replace(t, _MARKUP, " ")).otherwise(t)
+        return F.when(t.contains("<") | t.contains("&"), unescape(shown)).otherwise(t)
 
-    return T.clean_text(unescape(T.let(T.text(c), visible)))
+    return T.clean_text(T.let(T.text(c), visible))
 
 
 def inner_markup(html: Column, tag: str) -> Column:
@@ -146,33 +150,26 @@ def definition_pairs(html: Column) -> Column:
     """Every ``dt`` with the next ``dd`` of its list."""
     tokens = F.transform(
         F.regexp_extract_all(
-            T.text(html), F.lit(r"(?is)<(?:dt|dd)\b[^>]*>.*?</(?:dt|dd)\s*>|</dl\s*>"), F.lit(0)
+            T.text(html), F.lit(r"(?is)<(?:d[td]\b[^>]*+>[^<]*+(?:<(?!/d[td]\s*+>)[^<]*+)*+</d[td]\s*+>|/dl\s*+>)"), F.lit(0)
         ),
         lambda t: F.struct(
             F.lower(F.substring(t, 2, 2)).alias("kind"),  # dt, dd, or the slash of a list's end
             markup_text(F.regexp_extract(t, r"(?s)^<[^>]*>(.*)<[^<]*$", 1)).alias("text"),
         ),
     )
-    # Read backwards: a term takes the definition seen last, a list end clears it.
-    start = F.struct(
-        F.lit("").alias("value"),
-        F.array().cast("array<struct<label:string,value:string>>").alias("pairs"),
-    )
+    # A term takes the first definition behind it, over other terms, but not over a list's end.
+    def pairs(all_tokens: Column) -> Column:
+        def following(i: Column) -> Column:
+            rest = F.filter(F.slice(all_tokens, i + 2, F.size(all_tokens)), lambda t: t["kind"] != "dt")
+            return F.get(rest, F.lit(0))
 
-    def step(acc: Column, t: Column) -> Column:
-        term = F.struct(
-            acc["value"].alias("value"),
-            F.concat(
-                F.array(_pair(without_colon(t["text"]), acc["value"])), acc["pairs"]
-            ).alias("pairs"),
-        )
-        other = F.struct(
-            F.when(t["kind"] == "dd", t["text"]).otherwise(F.lit("")).alias("value"),
-            acc["pairs"].alias("pairs"),
-        )
-        return F.when(t["kind"] == "dt", term).otherwise(other)
+        def pair(t: Column, i: Column) -> Column:
+            value = T.let(following(i), lambda n: F.when(n["kind"] == "dd", n["text"]).otherwise(F.lit("")))
+            return F.when(t["kind"] == "dt", _pair(F.rtrim(t["text"], F.lit(":")), value))
+
+        return F.array_compact(F.transform(all_tokens, pair))
 
-    return F.aggregate(F.reverse(tokens), start, step, lambda acc: acc["pairs"])
+    return T.let(tokens, pairs)
 
 
 def table_pairs(html: Column) -> Column:
@@ -184,7 +181,7 @@ def table_pairs(html: Column) -> Column:
     )
     return F.transform(
         F.filter(cells, lambda c: F.size(c) >= 2),
-        lambda c: _pair(without_colon(markup_text(F.get(c, F.lit(0)))), markup_text(F.get(c, F.lit(1)))),
+        lambda c: _pair(F.rtrim(markup_text(F.get(c, F.lit(0))), F.lit(":")), markup_text(F.get(c, F.lit(1)))),
     )
 
 

@@ -43,7 +43,7 @@ def definitions() -> dict[str, tuple[str, str]]:
 
     month = _quoted(r"(?U)\b(0?[1-9]|1[0-2])[/.-]\d{4}\b")
     return {
-        "clean_text": ("STRING", f"trim(regexp_replace(coalesce(x, ''), {_quoted(T._BLANKS)}, ' '))"),
+        "clean_text": ("STRING", f"trim(regexp_replace(coalesce(x, ''), {_quoted(T._BLANKS)}, '$1 '))"),
         "normalize_text": (
             "STRING",
             f"CASE WHEN clean_text(x) IN ({_words(fixed.NULL_WORDS)}) THEN '' ELSE clean_text(x) END",

@@ -239,7 +239,7 @@ def choose_title(strings: Column) -> Column:
 
 
 def choose_price(strings: Column) -> Column:
-    prices = F.transform(strings, lambda s: F.regexp_extract(s, f"(?U){fixed.PRICE_TEXT_PATTERN}", 0))
+    prices = F.transform(strings, lambda s: F.regexp_extract(s, f"(?U){T.led(fixed.PRICE_TEXT_PATTERN)}", 0))
     return T.clean_text(F.get(F.filter(prices, lambda p: p != ""), F.lit(0)))
 
 

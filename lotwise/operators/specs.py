@@ -206,14 +206,10 @@ def first_values(pairs: Column) -> Column:
 
 def keep_first_pairs(pairs: Column) -> Column:
     """Array of pairs to a map, the first value of every label."""
-    kept = F.aggregate(
-        pairs,
-        F.array().cast(_PAIRS),
-        lambda acc, p: F.when(
-            F.exists(acc, lambda q: q["label"] == p["label"]), acc
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.map_from_entries(kept)
+    def firsts(p: Column) -> Column:
+        return T.let(F.transform(p, lambda q: q["label"]), lambda labels: F.filter(p, lambda q, i: F.array_position(labels, q["label"]) == i + 1))
+
+    return F.map_from_entries(T.let(pairs, firsts))
 
 
 def keep_last_pairs(pairs: Column) -> Column:
@@ -300,7 +296,7 @@ def with_financing(pages: DataFrame, html: str = "html") -> DataFrame:
                     T.clean_text(
                         F.regexp_extract(
                             words,
-                            T.insensitive(rf"(?:^|\s){T.quote(label)}\s*[:]\s*([^|•]{{1,80}})"),
+                            T.insensitive(rf"(?=[{label[0]}])(?<!\S){T.quote(label)}\s*[:]\s*([^|•]{{1,80}})"),
                             1,
                         )
                     ),
@@ -388,7 +384,7 @@ def with_title_and_price(pages: DataFrame, html: str = "html") -> DataFrame:
         titles.without_brand(ld["name"], ld["brand"])
     )
     ld_price = F.when(T.is_filled(ld["price"]), F.concat(ld["price"], F.lit(" €")))
-    in_text = T.clean_text(F.regexp_extract("page_text", f"(?U){fixed.PRICE_TEXT_PATTERN}", 0))
+    in_text = T.clean_text(F.regexp_extract("page_text", f"(?U){T.led(fixed.PRICE_TEXT_PATTERN)}", 0))
     return rows.withColumns(
         {
             "brand": F.when(by_ld, ld["brand"]).otherwise(split["brand"]),

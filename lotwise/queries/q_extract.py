@@ -280,7 +280,7 @@ SELECT lkey, concat('Tief ', l_linenumber, ' ', kw, ' kW (', ps, ' PS)') AS colo
 """,
 )
 def _(spark, sf_dir):
-    rows = specs.with_specs(run(spark, sf_dir, _FLAT).withColumnRenamed("pushed", "html"))
+    rows = specs.with_specs(run(spark, sf_dir, _FLAT, spread=True).withColumnRenamed("pushed", "html"))
     return rows.select(
         "lkey", F.col("specs")["Farbe (Hersteller)"].alias("colour"), F.col("specs")["Leistung"].alias("power")
     )
@@ -295,7 +295,7 @@ FROM ({BASE})
 """,
 )
 def _(spark, sf_dir):
-    rows = run(spark, sf_dir, _FLAT).withColumn("t", H.markup_text(F.col("words")))
+    rows = run(spark, sf_dir, _FLAT, spread=True).withColumn("t", H.markup_text(F.col("words")))
     rows = rows.withColumn("m", specs.first_values(specs.quick_stats(F.col("t"))))
     m = F.col("m")
     return rows.select(
@@ -324,7 +324,7 @@ SELECT lkey, label, value FROM (SELECT lkey, unnest([{{'label': 'CO₂-Emissione
 """,
 )
 def _(spark, sf_dir):
-    rows = run(spark, sf_dir, _DL).withColumn(
+    rows = run(spark, sf_dir, _DL, spread=True).withColumn(
         "m", specs.first_values(F.concat(H.definition_pairs(F.col("dl")), H.table_pairs(F.col("tab"))))
     )
     return rows.select("lkey", F.explode_outer("m").alias("label", "value"))
@@ -338,7 +338,7 @@ SELECT lkey, label, value FROM (SELECT lkey, unnest([{{'label': 'Bank', 'value':
 """,
 )
 def _(spark, sf_dir):
-    rows = run(spark, sf_dir, _DETAIL).withColumn("page_text", H.markup_text(F.col("html")))
+    rows = run(spark, sf_dir, _DETAIL, spread=True).withColumn("page_text", H.markup_text(F.col("html")))
     rows = specs.with_financing(rows)
     return rows.select("lkey", F.explode_outer("financing").alias("label", "value"))
 
@@ -352,7 +352,7 @@ FROM ({_DETAIL})
 """,
 )
 def _(spark, sf_dir):
-    rows = specs.with_title_and_price(run(spark, sf_dir, _DETAIL)).select("lkey", "l_linenumber", "price")
+    rows = specs.with_title_and_price(run(spark, sf_dir, _DETAIL, spread=True)).select("lkey", "l_linenumber", "price")
     ld = F.concat(
         F.lit('<script type="application/ld+json">[{"@type":"Thing"},{"@type":"Car","name":"X Y 3","brand":{"name":"X"},"offers":{"price":'),
         F.col("l_linenumber").cast("string"), F.lit(".5}}]</script>"),
@@ -374,7 +374,7 @@ FROM ({_DETAIL})
 """,
 )
 def _(spark, sf_dir):
-    done = specs.detail_records(run(spark, sf_dir, _DETAIL), "lkey")
+    done = specs.detail_records(run(spark, sf_dir, _DETAIL, spread=True), "lkey")
     return done.select(
         "lkey", F.col("Markes").alias("markes"), F.col("Models").alias("models"), F.col("Preis").alias("preis"),
         F.nullif(F.col("CO₂-Emissionen"), F.lit("")).alias("co2"), F.col("Hubraum").alias("hubraum"),
@@ -392,7 +392,7 @@ SELECT lkey, field, value FROM (SELECT lkey, unnest([{{'field': 'CO₂-Emissione
 """,
 )
 def _(spark, sf_dir):
-    rows = run(spark, sf_dir, _DL).select("lkey", F.col("dl").alias("html"))
+    rows = run(spark, sf_dir, _DL, spread=True).select("lkey", F.col("dl").alias("html"))
     return specs.target_fields(rows, "lkey")
 
 
@@ -575,7 +575,7 @@ FROM ({BASE})
 """,
 )
 def _(spark, sf_dir):
-    rows = run(spark, sf_dir, _LOOSE)
+    rows = run(spark, sf_dir, _LOOSE, spread=True)
     rows = rows.withColumn("o", F.explode_outer(J.objects_with(F.array("doc"), ["listingId"])))
     rows = rows.withColumn("strings", payloads.meaningful_strings(F.col("o")))
     c = payloads.loose_columns(F.col("o"), F.col("strings"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import html as H
 from lotwise.functions import payload as J
+from lotwise.functions import text as T
 from lotwise.operators import payloads, specs
-from lotwise.queries import q_files
+from lotwise.queries import base, q_files
 
 
 def filters(df):
@@ -72,3 +73,42 @@ def test_rendered_lists_hold_no_group_as_one_value(spark, tmp_path, monkeypatch)
     files = spark.read.option("wholetext", True).text(str(tmp_path / "out"))
     got = {r["g"]: [x["x"] for x in json.loads(r["value"])] for r in files.collect()}
     assert got == {0: ["a", "b", "b"], 1: ["c"]} and files.count() == 2
+
+
+def test_line_items_are_dealt_out_before_they_become_pages(spark, tmp_path):
+    spark.sql("SELECT 1L AS l_orderkey, 1 AS l_linenumber, 7L AS l_partkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = base.run(spark, str(tmp_path), "SELECT l_partkey FROM lineitem", spread=True)
+    assert "hashpartitioning(l_orderkey" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["l_partkey"] for r in rows.collect()] == [7]
+
+
+def test_patterns_look_at_a_character_before_a_word_edge():
+    assert T.led(r"\b\d+\s*km\b").startswith(r"(?=\d)") and T.led(r"\b(Ab|Cd)\b").startswith("(?=[AC])")
+    for other in (r"\b\d*x", r"\b\d+|foo", r"\b(?:EZ\s*)?\d", r"\bA?\d", r"x|\b\d", r"(Ab|Cd)?e", r"[(|]\b\d"):
+        assert T.led(other) == other
+
+
+def test_runs_of_blanks_are_found_from_run_to_run(one):
+    assert T._BLANKS.startswith(r"\G")
+    for text, clean in {"a  b": "a b", " a\tb ": "a b", "é  é\u00a0": "é é", "a b": "a b", "a é \x85": "a é", "€ ": "€", "\n": "", "": ""}.items():
+        assert one(T.clean_text, text) == clean
+
+
+def test_markup_goes_in_one_pass(one):
+    for page, text in {
+        "a <b x='<!-- > -->'>c": "a c", "a<script>x</p>": "a x", "<!-- a <b>c": "c", "<p><i>a</i> &lt;b&gt;</p>": "a <b>", "a <x <script>y</script> z>b": "a b", "1 < 2": "1 < 2",
+    }.items():
+        assert one(H.markup_text, page) == text
+    assert "_TAG" not in vars(H)
+
+
+def test_terms_share_the_definition_behind_them_in_their_list(one):
+    page = "<dl><dt>a<b>1</b>:</dt><dt>c</dt><dd>x</dd><dt>e</dt></dl><dd>y</dd>"
+    assert [(p["label"], p["value"]) for p in one(H.definition_pairs, page)] == [("a 1 ", "x"), ("c", "x"), ("e", "")]
+
+
+def test_first_pairs_are_kept_without_a_growing_array(spark):
+    rows = spark.sql("SELECT array(named_struct('label', 'b', 'value', '1'), named_struct('label', 'a', 'value', '2'), named_struct('label', 'b', 'value', '3')) AS p")
+    found = rows.select(specs.keep_first_pairs(F.col("p")).alias("m"), specs.keep_last_pairs(F.col("p")).alias("n"))
+    assert "aggregate(" not in found._jdf.queryExecution().analyzed().toString()
+    assert found.first()["m"] == {"b": "1", "a": "2"} and found.first()["n"] == {"b": "3", "a": "2"}
